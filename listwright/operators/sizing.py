@@ -1,0 +1,20 @@
+"""Size-checked broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+BROADCAST_ROWS = 50_000
+
+
+def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The side as a broadcast if it has at most `max_rows` rows, otherwise unchanged.
+
+    Meant for aggregates whose size the planner cannot know. At most `max_rows` + 1 rows are
+    fetched; beyond that the join is left to the planner, which shuffles it and splits hot keys.
+    Sides that are read from files need none of this: the planner knows their size.
+    """
+    head = side.limit(max_rows + 1).collect()
+    if len(head) > max_rows:
+        return side
+    return F.broadcast(side.sparkSession.createDataFrame(head, side.schema))
