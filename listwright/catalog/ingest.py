@@ -86,9 +86,7 @@ def first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _feed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ad.feed_payloads(spark, sf_dir).select(
-        "pos", "payload", F.try_parse_json("payload").alias("doc")
-    )
+    return nz.parse(ad.feed_payloads(spark, sf_dir)).select("pos", "doc")
 
 
 @query("visible_filter", f"WITH {FEED_SQL} SELECT pos FROM feed WHERE visible")
@@ -117,8 +115,8 @@ FROM feed
 """)
 def array_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _feed_docs(spark, sf_dir)
-    places = js.as_strings(js.field(F.col("doc"), "locations"))
-    degrees = js.as_strings(js.field(F.col("doc"), "degrees"))
+    places = js.as_strings(F.col("doc.locations"))
+    degrees = js.as_strings(F.col("doc.degrees"))
     return docs.select(
         "pos", F.array_join(places, "|").alias("locations"),
         F.size(places).alias("n_locations"), F.size(degrees).alias("n_degrees"),
@@ -134,7 +132,7 @@ def active_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("empty_to_null", f"WITH {FEED_SQL} SELECT pos, company_url FROM feed")
 def empty_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _feed_docs(spark, sf_dir)
-    given = js.as_text(js.field(F.col("doc"), "company_url"))
+    given = js.as_text(F.col("doc.company_url"))
     return docs.select("pos", tx.or_null(given).alias("company_url"))
 
 
@@ -157,11 +155,12 @@ WITH {FEED_SQL} SELECT source, source_id, pos, n_chars AS size, category FROM li
 def payload_rederive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read a field that the normalized schema never had out of the stored payload."""
     rows = ad.kept(spark, sf_dir).select("source", "source_id", "seq.pos", "raw_payload")
-    doc = F.try_parse_json("raw_payload")
-    return rows.select(
+    doc = js.parse_fields(F.col("raw_payload"), ("extra", "category"))
+    parsed = rows.select("source", "source_id", "pos", js.evaluated_once(doc).alias("doc"))
+    return parsed.select(
         "source", "source_id", "pos",
-        F.try_variant_get(doc, "$.extra.size", "bigint").alias("size"),
-        js.as_text(js.field(doc, "category")).alias("category"),
+        F.try_variant_get("doc.extra", "$.size", "bigint").alias("size"),
+        js.as_text(F.col("doc.category")).alias("category"),
     )
 
 
@@ -171,7 +170,7 @@ SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events
 def payload_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "props")
     return events.select(
-        "event_id", js.as_long(js.field(F.try_parse_json("props"), "k")).alias("k")
+        "event_id", js.as_long(js.parse_fields(F.col("props"), ("k",))["k"]).alias("k")
     )
 
 

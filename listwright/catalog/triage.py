@@ -230,22 +230,25 @@ def render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("job_id", scoring.render_request(_TEMPLATE, listing).alias("request"))
 
 
-def length_scorer():
+def _length_scorer_factory() -> scoring.ScorerFactory:
     """Deterministic stand-in for the external model: scores follow from the request's length."""
 
-    def answer(request: str) -> str:
-        size = len(request)
-        if size % 29 == 0:
-            raise ValueError("refused")
-        if size % 31 == 0:
-            return "no idea"
-        return (
-            f'{{"qualification_score": {size % 101}, "fit_score": {size % 89}, '
-            f'"class_year_eligible": {"true" if size % 2 else "false"}, '
-            f'"top_matches": ["size {size}"], "top_gaps": []}}'
-        )
+    def factory() -> scoring.Scorer:
+        def answer(request: str) -> str:
+            size = len(request)
+            if size % 29 == 0:
+                raise ValueError("refused")
+            if size % 31 == 0:
+                return "no idea"
+            return (
+                f'{{"qualification_score": {size % 101}, "fit_score": {size % 89}, '
+                f'"class_year_eligible": {"true" if size % 2 else "false"}, '
+                f'"top_matches": ["size {size}"], "top_gaps": []}}'
+            )
+
+        return answer
 
-    return answer
+    return factory
 
 
 _REQUEST_SIZE = f"{len(_TEMPLATE.header())} + length({_LISTING_SQL})"
@@ -272,7 +275,7 @@ FROM called
 """)
 def scorer_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queue, request, scorer call and parsed answer for every queued job."""
-    answers = scoring.call_scorer(_queue(spark, sf_dir), length_scorer, _TEMPLATE)
+    answers = scoring.call_scorer(_queue(spark, sf_dir), _length_scorer_factory(), _TEMPLATE)
     return scoring.parse_response(answers).select(
         "job_id", "tier", "error", "qualification_score", "fit_score"
     ).withColumn("job_id", F.col("job_id").cast("bigint"))
@@ -325,7 +328,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(e % 10 == 6, F.concat(F.lit("["), full, F.lit("]")))
         .when(e % 10 == 7, F.concat(full, F.lit(" I hope this helps")))
         .when(e % 10 == 8, F.concat(F.lit("  "), full, F.lit("\n")))
-        .otherwise(F.replace(full, F.lit(": 1,"), F.lit(': "",')))
+        .otherwise(F.replace(full, F.lit('eligible": 1,'), F.lit('eligible": "",')))
     )
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("job_id"), F.lit("keyword").alias("tier"),
@@ -336,7 +339,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("parse_response", f"""
 SELECT event_id AS job_id, {_K} AS qualification_score,
   CAST(event_id % 101 AS INTEGER) AS fit_score,
-  event_id % 10 <> 9 OR {_K} = 1 AND false AS class_year_eligible, 'a|b' AS top_matches,
+  event_id % 10 <> 9 AS class_year_eligible, 'a|b' AS top_matches,
   0 AS n_gaps, event_type AS summary
 FROM events WHERE {_OK}
 """)

@@ -1,37 +1,45 @@
-"""Reading JSON objects whose fields may be absent, null or of an unexpected type."""
+"""Reading JSON fields that may be absent, null or of an unexpected type.
+
+A field is held as VARIANT: SQL null when absent, a variant null when present and null.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# JSON texts that count as false; every number equal to zero is written as one of the zeros.
+FALSY = ("null", "false", "0", "0.0", "-0.0", '""', "[]", "{}")
+
+_END = "end of text"
 
-def field(doc: Column, name: str) -> Column:
-    """The field as VARIANT: SQL null when absent, a variant null when present and null."""
-    return F.try_variant_get(doc, f"$.{name}", "variant")
 
+def parse_fields(text: Column, names: tuple[str, ...]) -> Column:
+    """Struct of the named top-level fields of a JSON object, and ``broken`` if it is not one.
+
+    One pass over the text; fields that are not named are skipped without being built.
+    """
+    schema = ", ".join(f"{name} variant" for name in names)
+    return F.from_json(text, f"{schema}, broken string", {"columnNameOfCorruptRecord": "broken"})
 
-def is_absent(node: Column) -> Column:
-    return node.isNull()
+
+def evaluated_once(value: Column) -> Column:
+    """The value as a generator of one row.
+
+    Filters are pushed below a projection by repeating the projected expression, which for a parse
+    means parsing again for every use. They are not pushed below a generator.
+    """
+    return F.explode(F.array(value))
 
 
-def is_kind(node: Column, prefix: str) -> Column:
+def is_kind(node: Column, *kinds: str) -> Column:
     """Type test by the variant's own schema: STRING, BOOLEAN, BIGINT, ARRAY, OBJECT, VOID..."""
-    return F.coalesce(F.startswith(F.schema_of_variant(node), F.lit(prefix)), F.lit(False))
+    actual = F.substring_index(F.schema_of_variant(node), "<", 1)
+    return F.coalesce(actual.isin(*kinds), F.lit(False))
 
 
 def is_truthy(node: Column, when_absent: bool = False) -> Column:
     """False for null, false, zero, empty text, empty list and empty object; else true."""
-    kind = F.schema_of_variant(node)
-    return F.coalesce(
-        F.when(node.isNull(), F.lit(when_absent))
-        .when(kind == "VOID", F.lit(False))
-        .when(kind == "BOOLEAN", F.try_variant_get(node, "$", "boolean"))
-        .when(kind == "STRING", F.try_variant_get(node, "$", "string") != "")
-        .when(kind.startswith("ARRAY"), F.try_variant_get(node, "$[0]", "variant").isNotNull())
-        .when(kind.startswith("OBJECT"), kind != "OBJECT<>")
-        .otherwise(F.try_variant_get(node, "$", "double") != 0),
-        F.lit(True),
-    )
+    return F.coalesce(~F.to_json(node).isin(*FALSY), F.lit(when_absent))
 
 
 def as_text(node: Column) -> Column:
@@ -44,18 +52,25 @@ def as_long(node: Column) -> Column:
 
 def as_strings(node: Column) -> Column:
     """A list of texts; an absent, null or empty value is the empty list, another type is null."""
-    listed = F.try_variant_get(node, "$", "array<string>")
     empty = F.array().cast("array<string>")
-    return F.when(is_truthy(node), listed).otherwise(empty)
+    return F.when(is_truthy(node), F.try_variant_get(node, "$", "array<string>")).otherwise(empty)
 
 
-def parse_single(text: Column) -> Column:
-    """VARIANT of a text that is exactly one JSON value; null otherwise.
+def single_value(text: Column) -> Column:
+    """The text as the first item of a two-item list, ready for `item_of`.
 
-    The JSON reader stops after the first value, so text that follows it would go unnoticed.
-    Parsing the text once inside a list and once inside an object rules out any rest.
+    The JSON reader stops after the first value, so text that follows it would go unnoticed. In a
+    list that ends with a marker, the marker is the second item only if nothing else follows.
     """
-    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    alone = F.try_variant_get(in_list, "$[1]", "variant").isNull() & in_object.isNotNull()
-    return F.when(alone, F.try_variant_get(in_list, "$[0]", "variant"))
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+
+
+def is_single_object(listed: Column) -> Column:
+    marked = F.try_variant_get(listed, "$[1]", "string") == _END
+    return F.coalesce(marked, F.lit(False)) & is_kind(
+        F.try_variant_get(listed, "$[0]", "variant"), "OBJECT"
+    )
+
+
+def item_of(listed: Column, name: str) -> Column:
+    return F.try_variant_get(listed, f"$[0].{name}", "variant")

@@ -11,56 +11,57 @@ from listwright.sources.feeds import FEED_FAILED
 KEPT, SKIPPED, BAD, FEED_MARKER = "kept", "skipped", "bad", "feed"
 
 
+# Fields the normalized shape is made from.
+FIELDS = (
+    *REQUIRED_FIELDS, "is_visible", "active", "season", "terms", "locations", "degrees", "category",
+    "sponsorship", "date_posted", "date_updated", "company_url",
+)
+
+
+def parse(raw: DataFrame) -> DataFrame:
+    """Add ``doc``, the payload's fields; each payload is parsed once."""
+    return raw.select(
+        "*", js.evaluated_once(js.parse_fields(F.col("payload"), FIELDS)).alias("doc")
+    )
+
+
 def is_visible(doc: Column) -> Column:
     """Absent counts as visible; a present null, false, zero or empty value does not."""
-    return js.is_truthy(js.field(doc, "is_visible"), when_absent=True)
+    return js.is_truthy(doc["is_visible"], when_absent=True)
 
 
 def is_active(doc: Column) -> Column:
     """Same reading as visibility; inactive listings are kept."""
-    return js.is_truthy(js.field(doc, "active"), when_absent=True)
+    return js.is_truthy(doc["active"], when_absent=True)
 
 
 def has_required(doc: Column, fields: tuple[str, ...] = REQUIRED_FIELDS) -> Column:
     """All required fields truthy before any trimming, so a blank title passes."""
     present = F.lit(True)
     for name in fields:
-        present = present & js.is_truthy(js.field(doc, name))
+        present = present & js.is_truthy(doc[name])
     return present
 
 
-def first_season(season: Column, terms: Column) -> Column:
-    """The season if it is not empty, else the first term as it stands, else null."""
-    return F.coalesce(tx.or_null(season), F.get(terms, F.lit(0)))
-
-
 def season_of(doc: Column) -> Column:
-    node = js.field(doc, "season")
-    named = F.when(js.is_truthy(node), js.as_text(node))
-    return first_season(named, js.as_strings(js.field(doc, "terms")))
+    """The season if it is truthy, else the first term as it stands, else null."""
+    named = F.when(js.is_truthy(doc["season"]), js.as_text(doc["season"]))
+    return F.coalesce(named, F.get(js.as_strings(doc["terms"]), F.lit(0)))
 
 
-def _problem(doc: Column) -> Column:
+def problem_of(doc: Column) -> Column:
     """Why an object that is not skipped cannot become a listing, or null."""
 
-    def not_text(name: str) -> Column:
-        return ~js.is_kind(js.field(doc, name), "STRING")
-
     def not_texts(name: str) -> Column:
-        items = js.as_strings(js.field(doc, name))
+        items = js.as_strings(doc[name])
         return items.isNull() | F.exists(items, lambda item: item.isNull())
 
-    source_id = js.field(doc, "id")
-    return (
-        F.when(
-            js.is_kind(source_id, "ARRAY") | js.is_kind(source_id, "OBJECT"), F.lit("id type")
-        )
-        .when(not_text("company_name"), F.lit("company_name type"))
-        .when(not_text("title"), F.lit("title type"))
-        .when(not_text("url"), F.lit("url type"))
-        .when(not_texts("locations"), F.lit("locations type"))
-        .when(not_texts("degrees"), F.lit("degrees type"))
-    )
+    problem = F.when(js.is_kind(doc["id"], "ARRAY", "OBJECT"), F.lit("id type"))
+    for name in ("company_name", "title", "url"):
+        problem = problem.when(~js.is_kind(doc[name], "STRING"), F.lit(f"{name} type"))
+    for name in ("locations", "degrees"):
+        problem = problem.when(not_texts(name), F.lit(f"{name} type"))
+    return problem
 
 
 def normalize(raw: DataFrame, batch_id: int | Column) -> DataFrame:
@@ -69,45 +70,42 @@ def normalize(raw: DataFrame, batch_id: int | Column) -> DataFrame:
     Nothing is dropped here: callers write the result partitioned by verdict, so the payload is
     parsed once and counts, dead letters and listings all read what was written.
     """
-    parsed = raw.withColumn("doc", F.try_parse_json("payload"))
     doc = F.col("doc")
     batch = batch_id if isinstance(batch_id, Column) else F.lit(batch_id)
-    judged = parsed.select(
-        "*",
-        F.when(F.col("pos").isNull(), F.lit(FEED_MARKER))
-        .when(~js.is_kind(doc, "OBJECT"), F.lit(BAD))
-        .when(~(is_visible(doc) & has_required(doc)), F.lit(SKIPPED))
-        .when(_problem(doc).isNotNull(), F.lit(BAD))
-        .otherwise(F.lit(KEPT)).alias("verdict"),
+    not_an_object = F.col("payload").isNull() | doc["broken"].isNotNull()
+    reason = (
         F.when(F.col("feed_status") == FEED_FAILED, F.lit("feed not readable"))
         .when(F.col("pos").isNull(), F.lit("empty feed"))
-        .when(~js.is_kind(doc, "OBJECT"), F.lit("not an object"))
-        .otherwise(_problem(doc)).alias("reason"),
+        .when(not_an_object, F.lit("not an object"))
+        .otherwise(problem_of(doc))
     )
-
-    def text(name: str) -> Column:
-        return js.as_text(js.field(doc, name))
-
-    return judged.select(
+    verdict = (
+        F.when(F.col("pos").isNull(), F.lit(FEED_MARKER))
+        .when(not_an_object, F.lit(BAD))
+        .when(~(is_visible(doc) & has_required(doc)), F.lit(SKIPPED))
+        .when(problem_of(doc).isNotNull(), F.lit(BAD))
+        .otherwise(F.lit(KEPT))
+    )
+    return parse(raw).select(
         "source",
-        text("id").alias("source_id"),
-        tx.strip(text("company_name")).alias("company_name"),
-        tx.strip(text("title")).alias("title"),
-        text("url").alias("url"),
-        js.as_strings(js.field(doc, "locations")).alias("locations"),
+        js.as_text(doc["id"]).alias("source_id"),
+        tx.strip(js.as_text(doc["company_name"])).alias("company_name"),
+        tx.strip(js.as_text(doc["title"])).alias("title"),
+        js.as_text(doc["url"]).alias("url"),
+        js.as_strings(doc["locations"]).alias("locations"),
         season_of(doc).alias("season"),
-        text("category").alias("category"),
-        js.as_strings(js.field(doc, "degrees")).alias("degrees"),
-        text("sponsorship").alias("sponsorship"),
+        js.as_text(doc["category"]).alias("category"),
+        js.as_strings(doc["degrees"]).alias("degrees"),
+        js.as_text(doc["sponsorship"]).alias("sponsorship"),
         is_active(doc).alias("active"),
-        js.as_long(js.field(doc, "date_posted")).alias("posted_at"),
-        js.as_long(js.field(doc, "date_updated")).alias("updated_at"),
-        tx.or_null(text("company_url")).alias("company_url"),
+        js.as_long(doc["date_posted"]).alias("posted_at"),
+        js.as_long(doc["date_updated"]).alias("updated_at"),
+        tx.or_null(js.as_text(doc["company_url"])).alias("company_url"),
         F.col("payload").alias("raw_payload"),
         F.struct(
             batch.cast("bigint").alias("batch_id"), "source_ord", "file", "pos"
         ).alias("seq"),
-        "feed_status", "verdict", "reason",
+        "feed_status", verdict.alias("verdict"), reason.alias("reason"),
     )
 
 

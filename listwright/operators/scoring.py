@@ -22,6 +22,10 @@ ScorerFactory = Callable[[], Scorer]
 
 RESPONSE_SCHEMA = "job_id string, tier string, response string, error string"
 
+MANDATORY = (
+    "qualification_score", "fit_score", "class_year_eligible", "top_matches", "top_gaps",
+)
+
 
 @dataclass(frozen=True)
 class RequestTemplate:
@@ -89,7 +93,7 @@ def call_scorer(queue: DataFrame, factory: ScorerFactory, template: RequestTempl
             })
 
     requests = queue.select(
-        "job_id", "tier",
+        F.col("job_id").cast("string").alias("job_id"), "tier",
         render_listing(
             F.col("company_name"), F.col("title"), F.col("locations"), F.col("season"),
             F.col("sponsorship"), F.col("url"),
@@ -108,8 +112,9 @@ def strip_fences(text: Column) -> Column:
 
 def _whole_score(node: Column) -> Column:
     """An integer from 0 to 100; null for text, fractions and anything out of range."""
-    value = F.when(js.is_kind(node, "BIGINT"), js.as_long(node))
-    return F.when(value.between(0, 100), value.cast("int"))
+    return F.when(
+        js.is_kind(node, "BIGINT") & js.as_long(node).between(0, 100), js.as_long(node).cast("int")
+    )
 
 
 def parse_response(responses: DataFrame) -> DataFrame:
@@ -118,24 +123,25 @@ def parse_response(responses: DataFrame) -> DataFrame:
     Scores, eligibility and both lists must be present. Eligibility is read by truthiness. Reasoning
     and summary are optional.
     """
-    answers = responses.withColumn("_doc", js.parse_single(strip_fences(F.col("response"))))
-    doc = F.col("_doc")
-    qualification, fit = js.field(doc, "qualification_score"), js.field(doc, "fit_score")
-    eligible = js.field(doc, "class_year_eligible")
-    matches, gaps = js.field(doc, "top_matches"), js.field(doc, "top_gaps")
+    listed = js.single_value(strip_fences(F.col("response")))
+    answers = responses.select("*", js.evaluated_once(listed).alias("_answer"))
+
+    def item(name: str) -> Column:
+        return js.item_of(F.col("_answer"), name)
+
+    absent = F.lit(False)
+    for name in MANDATORY:
+        absent = absent | item(name).isNull()
+    qualification, fit = item("qualification_score"), item("fit_score")
+    matches, gaps = js.as_strings(item("top_matches")), js.as_strings(item("top_gaps"))
     problem = (
         F.when(F.col("error").isNotNull(), F.col("error"))
         .when(F.col("response").isNull(), F.lit("no response"))
-        .when(~js.is_kind(doc, "OBJECT"), F.lit("not one JSON object"))
-        .when(
-            js.is_absent(qualification) | js.is_absent(fit) | js.is_absent(eligible)
-            | js.is_absent(matches) | js.is_absent(gaps),
-            F.lit("missing field"),
-        )
+        .when(~js.is_single_object(F.col("_answer")), F.lit("not one JSON object"))
+        .when(absent, F.lit("missing field"))
         .when(_whole_score(qualification).isNull() | _whole_score(fit).isNull(),
               F.lit("score not an integer from 0 to 100"))
-        .when(js.as_strings(matches).isNull() | js.as_strings(gaps).isNull(),
-              F.lit("list field of another type"))
+        .when(matches.isNull() | gaps.isNull(), F.lit("list field of another type"))
     )
     kept = [c for c in responses.columns if c != "error"]
     return answers.select(
@@ -143,11 +149,11 @@ def parse_response(responses: DataFrame) -> DataFrame:
         problem.alias("error"),
         _whole_score(qualification).alias("qualification_score"),
         _whole_score(fit).alias("fit_score"),
-        js.is_truthy(eligible).alias("class_year_eligible"),
-        js.as_strings(matches).alias("top_matches"),
-        js.as_strings(gaps).alias("top_gaps"),
-        js.as_text(js.field(doc, "fit_reasoning")).alias("fit_reasoning"),
-        js.as_text(js.field(doc, "summary")).alias("summary"),
+        js.is_truthy(item("class_year_eligible")).alias("class_year_eligible"),
+        matches.alias("top_matches"),
+        gaps.alias("top_gaps"),
+        js.as_text(item("fit_reasoning")).alias("fit_reasoning"),
+        js.as_text(item("summary")).alias("summary"),
     )
 
 

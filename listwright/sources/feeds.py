@@ -18,6 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from listwright import schemas
+from listwright.functions.payload import evaluated_once
 
 FEED_OK, FEED_FAILED = "ok", "failed"
 
@@ -36,20 +37,20 @@ def _array_documents(documents: DataFrame) -> DataFrame:
     and would not notice text after it. A file that is empty or is not one array leaves a marker
     row without a position.
     """
-    wrapped = F.concat(F.lit('{"listings":'), F.col("document"), F.lit("}"))
-    listings = F.from_json(
-        wrapped, "listings array<string>, broken string", {"columnNameOfCorruptRecord": "broken"}
+    wrapped = F.concat(F.lit('{"listings":'), F.col("document"), F.lit(',"end":true}'))
+    parsed = F.from_json(
+        wrapped, "listings array<string>, end boolean, broken string",
+        {"columnNameOfCorruptRecord": "broken"},
     )
     split = documents.select(
-        "source", "source_ord", "file", listings.alias("parsed")
-    ).select(
-        "source", "source_ord", "file",
-        F.when(F.col("parsed.broken").isNull(), F.col("parsed.listings")).alias("listings"),
+        "source", "source_ord", "file", evaluated_once(parsed).alias("parsed")
     )
+    whole = F.col("parsed.broken").isNull() & F.coalesce("parsed.end", F.lit(False))
+    listings = F.when(whole, F.col("parsed.listings"))
     return split.select(
         "source", "source_ord", "file",
-        F.when(F.col("listings").isNull(), FEED_FAILED).otherwise(FEED_OK).alias("feed_status"),
-        F.posexplode_outer("listings").alias("pos", "payload"),
+        F.when(listings.isNull(), FEED_FAILED).otherwise(FEED_OK).alias("feed_status"),
+        F.posexplode_outer(listings).alias("pos", "payload"),
     )
 
 
