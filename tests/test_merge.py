@@ -1,0 +1,132 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from listwright.operators import checks, merge
+
+SPEC = merge.MergeSpec(keys=("k",), frozen=("born",), mutable=("value", "note"))
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    rng = random.Random(7)
+    data = [
+        # One key holds about half of all rows.
+        (rng.choice(["hot"] * 12 + [f"k{i}" for i in range(12)]), f"b{i}", rng.randint(0, 9),
+         rng.choice([None, "x", "y"]), i)
+        for i in range(400)
+    ]
+    frame = spark.createDataFrame(data, "k string, born string, value int, note string, seq int")
+    return data, merge.sightings(frame, SPEC, F.col("seq"))
+
+
+def by_hand(data):
+    state = {}
+    for key, born, value, note, seq in data:
+        first = state.get(key)
+        state[key] = (first[0] if first else born, value, note, first[3] if first else seq, seq)
+    return state
+
+
+def as_dict(frame):
+    return {
+        r.k: (r.born, r.value, r.note, r.first_seq, r.last_seq) for r in frame.collect()
+    }
+
+
+def test_fold_equals_row_by_row(rows):
+    data, frame = rows
+    assert as_dict(merge.fold(frame, SPEC)) == by_hand(data)
+
+
+@pytest.mark.parametrize("cuts", [(100,), (1, 399), (50, 60, 300)])
+def test_any_split_into_ordered_batches_gives_the_same_state(rows, cuts):
+    data, frame = rows
+    edges = [0, *cuts, 400]
+    state = None
+    for low, high in zip(edges, edges[1:]):
+        batch = frame.filter((F.col("first_seq") >= low) & (F.col("first_seq") < high))
+        state = merge.fold(batch, SPEC) if state is None else merge.upsert(state, batch, SPEC)
+    assert as_dict(state) == by_hand(data)
+
+
+def test_result_does_not_depend_on_partitioning(rows):
+    data, frame = rows
+    for parts in (1, 3, 17):
+        shuffled = frame.orderBy(F.rand(3)).repartition(parts)
+        assert as_dict(merge.fold(shuffled, SPEC)) == by_hand(data)
+
+
+def test_batch_merged_twice_changes_nothing(rows):
+    _, frame = rows
+    once = merge.fold(frame, SPEC)
+    assert as_dict(merge.upsert(once, frame, SPEC)) == as_dict(once)
+
+
+def test_fewer_columns_give_the_same_values(rows):
+    data, frame = rows
+    narrow = merge.fold(frame, SPEC.only(["k", "note"]))
+    assert "value" not in narrow.columns and "born" not in narrow.columns
+    assert {r.k: r.note for r in narrow.collect()} == {k: v[2] for k, v in by_hand(data).items()}
+
+
+def test_stats_count_sightings(rows):
+    data, frame = rows
+    state = merge.fold(frame.filter("first_seq < 100"), SPEC)
+    batch = frame.filter("first_seq >= 100")
+    known = {d[0] for d in data[:100]}
+    new = {d[0] for d in data[100:]} - known
+    stats = merge.merge_stats(state, batch, ("k",)).first()
+    assert (stats.total_seen, stats.inserted, stats.updated) == (300, len(new), 300 - len(new))
+    nothing = merge.merge_stats(state, batch.limit(0), ("k",)).first()
+    assert (nothing.total_seen, nothing.inserted, nothing.updated) == (0, 0, 0)
+
+
+def test_company_fold_keeps_first_spelling_and_first_known_provider(spark):
+    data = [
+        (1, "Acme Inc", None, None, None),
+        (2, "ACME", "lever", None, "https://late.test"),
+        (3, "Acme", "ashby", "acme", None),
+        (4, "Bolt", "", "t", "https://bolt.test"),
+        (5, "bolt", "icims", "bolt", None),
+    ]
+    frame = spark.createDataFrame(
+        [(s, n.lower().replace(" inc", ""), n, p, t, u) for s, n, p, t, u in data],
+        "s int, name_normalized string, company_name string, ats_provider string, "
+        "ats_token string, company_url string",
+    ).select(
+        "*", F.col("name_normalized").alias("company_id"),
+        F.struct(F.lit(1).cast("bigint").alias("batch_id"), F.lit(0).alias("source_ord"),
+                 F.lit("").alias("file"), F.col("s").cast("bigint").alias("pos")).alias("seq"),
+    )
+    sighted = merge.company_sightings(frame, F.lit("2024-01-01").cast("timestamp"))
+    got = {r.name_normalized: r for r in merge.fold_companies(sighted).collect()}
+    assert (got["acme"].name, got["acme"].company_url) == ("Acme Inc", None)
+    assert (got["acme"].ats_provider, got["acme"].ats_token) == ("lever", None)
+    assert (got["bolt"].ats_provider, got["bolt"].ats_token) == ("icims", "bolt")
+    assert got["bolt"].company_url == "https://bolt.test"
+
+
+def test_checks(spark):
+    child = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "fk int")
+    parent = spark.createDataFrame([(1,), (2,)], "id int")
+    assert checks.orphan_count(child, "fk", parent, "id").first().orphans == 2
+    assert checks.orphan_count(child.limit(0), "fk", parent, "id").first().orphans == 0
+    assert [tuple(r) for r in checks.duplicate_keys(child, ("fk",)).collect()] == [(1, 2)]
+    nulls = checks.null_violations(child, ("fk",)).first()
+    assert (nulls.column_name, nulls.nulls) == ("fk", 1)
+
+
+@pytest.mark.parametrize("max_rows", [50_000, 1])
+def test_stale_with_and_without_broadcast(spark, monkeypatch, max_rows):
+    small = checks.broadcast_if_small
+    monkeypatch.setattr(checks, "broadcast_if_small", lambda side: small(side, max_rows))
+    rows = spark.createDataFrame(
+        [("a", 1, 5), ("a", 2, 6), ("b", 3, 9), ("b", 4, 9), ("c", 5, 1)],
+        "source string, id int, seen int",
+    )
+    result = checks.stale(rows, "source", "seen")
+    assert [tuple(r) for r in result.collect()] == [("a", 1, 5)]
+    plan = result._jdf.queryExecution().analyzed().toString()
+    assert ("broadcast" in plan) == (max_rows > 1)

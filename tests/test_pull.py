@@ -1,0 +1,172 @@
+import json
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from listwright.plans import pull as pl, report
+from listwright.sources.feeds import Feed
+from listwright.sources.store import ConcurrentCommitError, Store
+
+DAY1, DAY2, DAY3 = (datetime(2024, 5, d, 8, 0, 0) for d in (1, 2, 3))
+
+
+def entry(source_id, company, title, url="https://x.test/1", **fields):
+    return {"id": source_id, "company_name": company, "title": title, "url": url, **fields}
+
+
+def write(path, entries):
+    path.write_text(json.dumps(entries))
+
+
+@pytest.fixture
+def world(spark, tmp_path):
+    feeds = [Feed("one", str(tmp_path / "one.json")), Feed("two", str(tmp_path / "two.json"))]
+    write(tmp_path / "one.json", [
+        entry("1", "Acme Inc", "Data", locations=["NYC"]),
+        entry("2", "Bolt", "Ops", "https://jobs.lever.co/bolt/1"),
+        entry("1", "Acme, Inc.", "Data II", locations=["NYC"]),
+    ])
+    write(tmp_path / "two.json", [
+        entry("1", "ACME", "Data", "https://boards.greenhouse.io/acme/1", locations=["nyc "],
+              company_url="https://acme.test"),
+    ])
+    return tmp_path, feeds, Store(spark, str(tmp_path / "store"))
+
+
+def jobs(store):
+    return {(r.source, r.source_id): r for r in store.read("jobs").collect()}
+
+
+def companies(store):
+    return {r.name_normalized: r for r in store.read("companies").collect()}
+
+
+def test_first_pull(world):
+    _, feeds, store = world
+    done = pl.pull(store, feeds, DAY1)
+    assert (done.total_seen, done.inserted, done.updated) == (4, 3, 1)
+    got = jobs(store)
+    assert set(got) == {("one", "1"), ("one", "2"), ("two", "1")}
+    assert got["one", "1"].title == "Data II"
+    # The fingerprint is that of the first sighting, which equals the other feed's listing.
+    assert got["one", "1"].fingerprint == got["two", "1"].fingerprint
+    assert got["one", "1"].is_internship is True
+    acme = companies(store)["acme"]
+    assert acme.name == "Acme Inc"
+    assert (acme.ats_provider, acme.ats_token) == ("greenhouse", "acme")
+    assert acme.company_url is None
+    counts = {r.source: r.kept for r in pl.source_counts(store).collect()}
+    assert counts == {"one": 3, "two": 1}
+
+
+def test_second_pull_updates_mutable_columns_only(world):
+    root, feeds, store = world
+    pl.pull(store, feeds, DAY1)
+    before = jobs(store)
+    write(root / "one.json", [
+        entry("1", "Renamed", "New title", active=False),
+        entry("3", "Cargo", "Fresh"),
+    ])
+    write(root / "two.json", {"not": "a list"})
+    done = pl.pull(store, feeds, DAY2)
+    assert (done.total_seen, done.inserted, done.updated) == (2, 1, 1)
+    after = jobs(store)
+    old, new = before["one", "1"], after["one", "1"]
+    assert new.title == "New title" and new.active is False and new.locations == []
+    for frozen in ("fingerprint", "company_id", "fetched_at", "job_id"):
+        assert new[frozen] == old[frozen]
+    assert (new.fetched_at, new.last_seen_at) == (DAY1, DAY2)
+    # Not in the feed this time: untouched, still active.
+    assert after["one", "2"] == before["one", "2"]
+    assert after["two", "1"] == before["two", "1"]
+    # The company is created although the listing was only updated.
+    assert companies(store)["renamed"].created_at == DAY2
+    status = {r.source: r.status for r in pl.source_status(store).collect()}
+    assert status == {"one": "ok", "two": "failed"}
+    stale = {(r.source, r.source_id) for r in report.stale_listings(store).collect()}
+    assert stale == {("one", "2")}
+
+
+def test_same_pull_twice_only_refreshes_last_seen(world):
+    _, feeds, store = world
+    pl.pull(store, feeds, DAY1)
+    first = jobs(store)
+    done = pl.pull(store, feeds, DAY2)
+    assert (done.inserted, done.updated) == (0, 4)
+    for key, row in jobs(store).items():
+        assert row.last_seen_at == DAY2
+        for name in set(row.__fields__) - {"last_seen_at", "last_seq"}:
+            assert row[name] == first[key][name], name
+
+
+def test_parts_are_merged_without_changing_the_content(world, spark):
+    root, feeds, _ = world
+    long, short = (Store(spark, str(root / name), max_parts=n) for name, n in (("a", 9), ("b", 2)))
+    for day, title in ((DAY1, "A"), (DAY2, "B"), (DAY3, "C")):
+        write(root / "one.json", [entry("1", "Acme", title), entry(title, "Co " + title, title)])
+        for store in (long, short):
+            pl.pull(store, feeds, day)
+    assert len(long.current().parts("jobs")) == 3
+    assert len(short.current().parts("jobs")) < 3
+    assert jobs(long) == jobs(short)
+    assert companies(long) == companies(short)
+
+
+def test_bad_objects_are_set_aside(world):
+    root, feeds, store = world
+    write(root / "one.json", [entry("1", "Acme", 7), entry("2", "Acme", "ok"), None])
+    done = pl.pull(store, feeds, DAY1)
+    assert done.total_seen == 2
+    dead = {(r.source, r.seq.pos): r.reason for r in pl.dead_letters(store).collect()}
+    assert dead == {("one", 0): "title type", ("one", 2): "not an object"}
+
+
+def test_failure_before_the_commit_leaves_the_store_as_it_was(world, monkeypatch):
+    root, feeds, store = world
+    pl.pull(store, feeds, DAY1)
+    before, version = jobs(store), store.current().version
+    write(root / "one.json", [entry("9", "New", "New")])
+    real = store.write_fold
+
+    def fail_on_jobs(table, batch, base):
+        if table == "jobs":
+            raise RuntimeError("lost")
+        return real(table, batch, base)
+
+    monkeypatch.setattr(store, "write_fold", fail_on_jobs)
+    with pytest.raises(RuntimeError):
+        pl.pull(store, feeds, DAY2)
+    assert store.current().version == version
+    assert jobs(store) == before
+    assert "new" not in companies(store)
+    monkeypatch.undo()
+    assert pl.pull(store, feeds, DAY2).inserted == 1
+
+
+def test_initialize_is_idempotent_and_empty_tables_have_their_schema(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.read("jobs").count() == 0
+    assert store.initialize().version == 1
+    assert store.initialize().version == 1
+    for name, schema in store.tables.items():
+        assert store.read(name).schema.fieldNames() == schema.fieldNames()
+
+
+def test_two_commits_of_one_version_are_noticed(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    base = store.initialize()
+    store.commit(base, {"jobs": ["a"]})
+    store.commit(base, {"jobs": ["b"]})
+    with pytest.raises(ConcurrentCommitError):
+        store.current()
+
+
+def test_reader_keeps_its_version(world):
+    root, feeds, store = world
+    pl.pull(store, feeds, DAY1)
+    then = store.current()
+    write(root / "one.json", [entry("9", "New", "New")])
+    pl.pull(store, feeds, DAY2)
+    assert store.read("jobs", then).filter(F.col("source_id") == "9").count() == 0
+    assert store.read("jobs").filter(F.col("source_id") == "9").count() == 1
