@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, functions as F
 
+from listwright import schemas
 from listwright.operators import merge
 from listwright.operators.normalize import BAD, KEPT, enrich, normalize, verdict_counts
 from listwright.sources.feeds import Feed, feed_status, read_feeds
@@ -28,14 +29,11 @@ def stage(store: Store, raw: DataFrame, batch_id: int) -> str:
     The payload is parsed and the URL, key and hash expressions run exactly once per listing,
     however many tables are built from them, and a lost executor costs no second parse.
     """
-    staged = enrich(normalize(raw, batch_id))
-    part = store.new_part("staging")
-    staged.write.mode("errorifexists").partitionBy("verdict").parquet(store.path(part))
-    return part
+    return store.write_part("staging", enrich(normalize(raw, batch_id)), ("verdict",))
 
 
 def _staged(store: Store, part: str, verdict: str) -> DataFrame:
-    return store.spark.read.parquet(store.path(part)).filter(F.col("verdict") == verdict)
+    return store.read_part(part, schemas.STAGED).filter(F.col("verdict") == verdict)
 
 
 def merge_staged(
@@ -70,7 +68,7 @@ def pull(
 
 def _last_staging(store: Store) -> DataFrame:
     part, = store.current().parts("staging")
-    return store.spark.read.parquet(store.path(part))
+    return store.read_part(part, schemas.STAGED)
 
 
 def source_counts(store: Store) -> DataFrame:

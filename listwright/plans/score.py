@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from listwright.fixed_values import CYCLE_YEAR, OPEN_SEASONS
 from listwright.functions.rules import TierRules
@@ -70,10 +70,8 @@ def score(
     """
     now = F.lit(run_at or datetime.now(timezone.utc)).cast("timestamp")
     chunk = F.pmod(F.xxhash64("job_id"), F.lit(run.chunks)).cast("int")
-    queue_part = store.write_part(
-        "queue", queue_of(store, run).withColumn("chunk", chunk), ("chunk",)
-    )
-    queue = store.spark.read.parquet(store.path(queue_part))
+    planned = queue_of(store, run).withColumn("chunk", chunk)
+    queue = store.read_part(store.write_part("queue", planned, ("chunk",)), planned.schema)
     scored = failed = 0
     for row in queue.groupBy("chunk").count().orderBy("chunk").collect():
         todo = queue.filter(F.col("chunk") == row.chunk).drop("chunk")
@@ -82,13 +80,15 @@ def score(
     return ScoreReport(scored + failed, scored, failed)
 
 
-def _score_chunk(store: Store, run: ScoreRun, factory, todo: DataFrame, now):
-    """Call, parse and append one chunk."""
+def _score_chunk(
+    store: Store, run: ScoreRun, factory: scoring.ScorerFactory, todo: DataFrame, now: Column
+) -> Row:
+    """Call, parse and append one chunk; returns how many were scored and how many failed."""
     spread = todo.repartition("job_id")
     answers_part = store.write_part(
         "responses", scoring.call_scorer(spread, factory, run.template())
     )
-    answers = store.spark.read.schema(scoring.RESPONSE_SCHEMA).parquet(store.path(answers_part))
+    answers = store.read_part(answers_part, scoring.RESPONSE_SCHEMA)
     parsed = scoring.parse_response(answers)
     base = store.current()
     batch_id = base.version + 1

@@ -27,6 +27,15 @@ LISTING = _struct(
     updated_at=LONG, company_url=STR, raw_payload=STR, seq=SEQ,
 )
 
+# Listings of a pull with their verdict and everything derived from them.
+STAGED = T.StructType([
+    *LISTING.fields,
+    *_struct(
+        feed_status=STR, verdict=STR, reason=STR, name_normalized=STR, fingerprint=STR, job_id=STR,
+        company_id=STR, ats_provider=STR, ats_token=STR,
+    ).fields,
+])
+
 COMPANIES = _struct(
     company_id=STR, name=STR, name_normalized=STR, ats_provider=STR, ats_token=STR,
     company_url=STR, created_at=TS, first_seq=SEQ, provider_seq=SEQ,

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from listwright import schemas
 from listwright.operators import merge
@@ -142,6 +142,10 @@ class Store:
         writer.parquet(self.path(part))
         return part
 
+    def read_part(self, part: str, schema: T.StructType | str) -> DataFrame:
+        """One directory, also when it holds no rows and so no files."""
+        return self.spark.read.schema(schema).parquet(self.path(part))
+
     def write_fold(self, table: str, batch: DataFrame, base: Commit) -> list[str]:
         """Write the fold of a batch; returns the directory list the table then has."""
         parts = base.parts(table)
