@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# JSON texts that count as false; every number equal to zero is written as one of the zeros.
-FALSY = ("null", "false", "0", "0.0", "-0.0", '""', "[]", "{}")
+# JSON texts, other than the empty text, that count as false; every number equal to zero is written as one of the zeros.
+FALSY = ("null", "false", "0", "0.0", "-0.0", "[]", "{}")
 
-_END = "end of text"
+
+def _variants(names: tuple[str, ...]) -> str:
+    return ", ".join(f"{name} variant" for name in names)
 
 
 def parse_fields(text: Column, names: tuple[str, ...]) -> Column:
@@ -18,8 +20,25 @@ def parse_fields(text: Column, names: tuple[str, ...]) -> Column:
 
     One pass over the text; fields that are not named are skipped without being built.
     """
-    schema = ", ".join(f"{name} variant" for name in names)
-    return F.from_json(text, f"{schema}, broken string", {"columnNameOfCorruptRecord": "broken"})
+    schema = f"{_variants(names)}, broken string"
+    return F.from_json(text, schema, {"columnNameOfCorruptRecord": "broken"})
+
+
+def parse_single_object(text: Column, names: tuple[str, ...]) -> Column:
+    """List of objects to be read with `single_object`.
+
+    The JSON reader stops after the first value, so text that follows it would go unnoticed. The
+    text is read as the first item of a list that ends with a marker: the marker is the second item
+    only if nothing else follows.
+    """
+    marked = F.concat(F.lit("["), text, F.lit(',{"end":true}]'))
+    return F.from_json(marked, f"array<struct<{_variants(names)}, end boolean>>")
+
+
+def single_object(listed: Column) -> Column:
+    """The fields of a text that was exactly one JSON object, else null."""
+    marker = F.get(listed, F.lit(1))["end"]
+    return F.when((F.size(listed) == 2) & F.coalesce(marker, F.lit(False)), F.get(listed, F.lit(0)))
 
 
 def evaluated_once(value: Column) -> Column:
@@ -39,7 +58,11 @@ def is_kind(node: Column, *kinds: str) -> Column:
 
 def is_truthy(node: Column, when_absent: bool = False) -> Column:
     """False for null, false, zero, empty text, empty list and empty object; else true."""
-    return F.coalesce(~F.to_json(node).isin(*FALSY), F.lit(when_absent))
+    # Texts are compared as they are; writing a long one as JSON would copy it letter by letter.
+    truth = F.when(F.schema_of_variant(node) == "STRING", as_text(node) != "").otherwise(
+        ~F.to_json(node).isin(*FALSY)
+    )
+    return F.coalesce(truth, F.lit(when_absent))
 
 
 def as_text(node: Column) -> Column:
@@ -54,23 +77,3 @@ def as_strings(node: Column) -> Column:
     """A list of texts; an absent, null or empty value is the empty list, another type is null."""
     empty = F.array().cast("array<string>")
     return F.when(is_truthy(node), F.try_variant_get(node, "$", "array<string>")).otherwise(empty)
-
-
-def single_value(text: Column) -> Column:
-    """The text as the first item of a two-item list, ready for `item_of`.
-
-    The JSON reader stops after the first value, so text that follows it would go unnoticed. In a
-    list that ends with a marker, the marker is the second item only if nothing else follows.
-    """
-    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
-
-
-def is_single_object(listed: Column) -> Column:
-    marked = F.try_variant_get(listed, "$[1]", "string") == _END
-    return F.coalesce(marked, F.lit(False)) & is_kind(
-        F.try_variant_get(listed, "$[0]", "variant"), "OBJECT"
-    )
-
-
-def item_of(listed: Column, name: str) -> Column:
-    return F.try_variant_get(listed, f"$[0].{name}", "variant")

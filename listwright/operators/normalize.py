@@ -79,14 +79,15 @@ def normalize(raw: DataFrame, batch_id: int | Column) -> DataFrame:
         .when(not_an_object, F.lit("not an object"))
         .otherwise(problem_of(doc))
     )
+    checked = parse(raw).select("*", reason.alias("reason"))
     verdict = (
         F.when(F.col("pos").isNull(), F.lit(FEED_MARKER))
         .when(not_an_object, F.lit(BAD))
         .when(~(is_visible(doc) & has_required(doc)), F.lit(SKIPPED))
-        .when(problem_of(doc).isNotNull(), F.lit(BAD))
+        .when(F.col("reason").isNotNull(), F.lit(BAD))
         .otherwise(F.lit(KEPT))
     )
-    return parse(raw).select(
+    return checked.select(
         "source",
         js.as_text(doc["id"]).alias("source_id"),
         tx.strip(js.as_text(doc["company_name"])).alias("company_name"),
@@ -105,7 +106,7 @@ def normalize(raw: DataFrame, batch_id: int | Column) -> DataFrame:
         F.struct(
             batch.cast("bigint").alias("batch_id"), "source_ord", "file", "pos"
         ).alias("seq"),
-        "feed_status", verdict.alias("verdict"), reason.alias("reason"),
+        "feed_status", verdict.alias("verdict"), "reason",
     )
 
 

@@ -25,6 +25,7 @@ RESPONSE_SCHEMA = "job_id string, tier string, response string, error string"
 MANDATORY = (
     "qualification_score", "fit_score", "class_year_eligible", "top_matches", "top_gaps",
 )
+OPTIONAL = ("fit_reasoning", "summary")
 
 
 @dataclass(frozen=True)
@@ -123,38 +124,36 @@ def parse_response(responses: DataFrame) -> DataFrame:
     Scores, eligibility and both lists must be present. Eligibility is read by truthiness. Reasoning
     and summary are optional.
     """
-    listed = js.single_value(strip_fences(F.col("response")))
-    answers = responses.select("*", js.evaluated_once(listed).alias("_answer"))
-
-    def item(name: str) -> Column:
-        return js.item_of(F.col("_answer"), name)
-
+    listed = js.parse_single_object(strip_fences(F.col("response")), MANDATORY + OPTIONAL)
+    read = responses.select("*", js.evaluated_once(listed).alias("_listed"))
+    answers = read.select("*", js.single_object(F.col("_listed")).alias("_answer"))
+    answer = F.col("_answer")
     absent = F.lit(False)
     for name in MANDATORY:
-        absent = absent | item(name).isNull()
-    qualification, fit = item("qualification_score"), item("fit_score")
-    matches, gaps = js.as_strings(item("top_matches")), js.as_strings(item("top_gaps"))
+        absent = absent | answer[name].isNull()
+    values = answers.select(
+        *responses.columns,
+        answer.isNull().alias("_not_one"),
+        absent.alias("_absent"),
+        _whole_score(answer["qualification_score"]).alias("qualification_score"),
+        _whole_score(answer["fit_score"]).alias("fit_score"),
+        js.is_truthy(answer["class_year_eligible"]).alias("class_year_eligible"),
+        js.as_strings(answer["top_matches"]).alias("top_matches"),
+        js.as_strings(answer["top_gaps"]).alias("top_gaps"),
+        js.as_text(answer["fit_reasoning"]).alias("fit_reasoning"),
+        js.as_text(answer["summary"]).alias("summary"),
+    )
     problem = (
         F.when(F.col("error").isNotNull(), F.col("error"))
         .when(F.col("response").isNull(), F.lit("no response"))
-        .when(~js.is_single_object(F.col("_answer")), F.lit("not one JSON object"))
-        .when(absent, F.lit("missing field"))
-        .when(_whole_score(qualification).isNull() | _whole_score(fit).isNull(),
+        .when(F.col("_not_one"), F.lit("not one JSON object"))
+        .when(F.col("_absent"), F.lit("missing field"))
+        .when(F.col("qualification_score").isNull() | F.col("fit_score").isNull(),
               F.lit("score not an integer from 0 to 100"))
-        .when(matches.isNull() | gaps.isNull(), F.lit("list field of another type"))
-    )
-    kept = [c for c in responses.columns if c != "error"]
-    return answers.select(
-        *kept,
-        problem.alias("error"),
-        _whole_score(qualification).alias("qualification_score"),
-        _whole_score(fit).alias("fit_score"),
-        js.is_truthy(item("class_year_eligible")).alias("class_year_eligible"),
-        matches.alias("top_matches"),
-        gaps.alias("top_gaps"),
-        js.as_text(item("fit_reasoning")).alias("fit_reasoning"),
-        js.as_text(item("summary")).alias("summary"),
+        .when(F.col("top_matches").isNull() | F.col("top_gaps").isNull(),
+              F.lit("list field of another type"))
     )
+    return values.withColumn("error", problem).drop("_not_one", "_absent")
 
 
 def parsed_ok(parsed: DataFrame) -> DataFrame:
