@@ -10,11 +10,11 @@ from listwright.operators.sizing import broadcast_if_small
 def orphan_count(child: DataFrame, foreign_key: str, parent: DataFrame, key: str) -> DataFrame:
     """How many child rows point to no parent.
 
-    The child is reduced to one row per foreign key first, so a parent with very many children
-    costs one row in the join.
+    Both sides are reduced to one row per key first, so a parent with very many children costs one
+    row in the join.
     """
     per_key = child.groupBy(F.col(foreign_key).alias("_key")).agg(F.count("*").alias("_rows"))
-    parents = parent.select(F.col(key).alias("_key"))
+    parents = parent.select(F.col(key).alias("_key")).distinct()
     missing = per_key.join(parents, "_key", "left_anti")
     return missing.agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).cast("bigint").alias("orphans")

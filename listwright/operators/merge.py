@@ -130,22 +130,21 @@ def fold_companies(rows: DataFrame, columns: Iterable[str] | None = None) -> Dat
 def merge_stats(state: DataFrame, batch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """total_seen, inserted, updated of a batch of sightings against the state before it.
 
-    Every sighting after a key's first one is an update, whether or not it changed anything. Only
-    key columns are read, and both sides are reduced per key before the exchange.
+    Every sighting after a key's first one is an update, whether or not it changed anything. The
+    batch is reduced to one row per key before it meets the state, and of the state only the keys
+    are read; a batch small enough to be broadcast leaves the state where it is.
     """
-    marked = (
-        state.select(*keys, F.lit(1).alias("_known"), F.lit(0).cast("bigint").alias("_seen"))
-        .unionByName(
-            batch.select(*keys, F.lit(0).alias("_known"), F.lit(1).cast("bigint").alias("_seen"))
-        )
-    )
-    per_key = marked.groupBy(*keys).agg(
-        F.max("_known").alias("_known"), F.sum("_seen").alias("_seen")
-    )
-    totals = per_key.agg(
-        F.coalesce(F.sum("_seen"), F.lit(0)).cast("bigint").alias("total_seen"),
-        F.count_if((F.col("_known") == 0) & (F.col("_seen") > 0)).alias("inserted"),
+    per_key = batch.groupBy(*keys).agg(F.count("*").alias("_seen"))
+    known = state.select(*keys).join(per_key.select(*keys), list(keys), "left_semi").distinct()
+    zero = F.lit(0).cast("bigint")
+    counts = per_key.agg(
+        F.coalesce(F.sum("_seen"), zero).alias("total_seen"), F.count("*").alias("keys"),
+        zero.alias("known"),
+    ).unionByName(
+        known.agg(zero.alias("total_seen"), zero.alias("keys"), F.count("*").alias("known"))
     )
-    return totals.select(
-        "total_seen", "inserted", (F.col("total_seen") - F.col("inserted")).alias("updated")
+    inserted = F.sum("keys") - F.sum("known")
+    return counts.agg(
+        F.sum("total_seen").alias("total_seen"), inserted.alias("inserted"),
+        (F.sum("total_seen") - inserted).alias("updated"),
     )

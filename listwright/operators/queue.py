@@ -54,11 +54,15 @@ def with_company(jobs: DataFrame, companies: DataFrame) -> DataFrame:
 def unscored(
     jobs: DataFrame, scores: DataFrame, profile_version: str, resume_version: str
 ) -> DataFrame:
-    """Jobs without a score under exactly these two versions."""
+    """Jobs without a score under exactly these two versions.
+
+    The scored side is made distinct first. That uses the exchange the join needs anyway, and a job
+    with very many scores then weighs one row per task instead of all of them in one task.
+    """
     done = scores.filter(
         (F.col("profile_version") == profile_version)
         & (F.col("resume_version") == resume_version)
-    ).select("job_id")
+    ).select("job_id").distinct()
     return jobs.join(done, "job_id", "left_anti")
 
 

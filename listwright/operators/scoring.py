@@ -186,7 +186,7 @@ def insert_or_ignore(
         complete = complete.filter(F.col(name).isNotNull())
     rest = [c for c in batch.columns if c not in key]
     first = complete.groupBy(*key).agg(F.min_by(F.struct(*rest), seq).alias("_row"))
-    fresh = first.join(stored.select(*key), list(key), "left_anti")
+    fresh = first.join(stored.select(*key).distinct(), list(key), "left_anti")
     return fresh.select(*key, *(F.col(f"_row.{c}").alias(c) for c in rest))
 
 

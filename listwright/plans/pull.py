@@ -12,7 +12,7 @@ from listwright import schemas
 from listwright.operators import merge
 from listwright.operators.normalize import BAD, KEPT, enrich, normalize, verdict_counts
 from listwright.sources.feeds import Feed, feed_status, read_feeds
-from listwright.sources.store import Commit, Store
+from listwright.sources.store import Commit, Part, Store
 
 
 @dataclass(frozen=True)
@@ -23,7 +23,7 @@ class PullReport:
     updated: int
 
 
-def stage(store: Store, raw: DataFrame, batch_id: int) -> str:
+def stage(store: Store, raw: DataFrame, batch_id: int) -> Part:
     """Normalize and enrich once, written by verdict; later steps read what they need of it.
 
     The payload is parsed and the URL, key and hash expressions run exactly once per listing,
@@ -32,12 +32,12 @@ def stage(store: Store, raw: DataFrame, batch_id: int) -> str:
     return store.write_part("staging", enrich(normalize(raw, batch_id)), ("verdict",))
 
 
-def _staged(store: Store, part: str, verdict: str) -> DataFrame:
+def _staged(store: Store, part: Part, verdict: str) -> DataFrame:
     return store.read_part(part, schemas.STAGED).filter(F.col("verdict") == verdict)
 
 
 def merge_staged(
-    store: Store, part: str, base: Commit, run_at: datetime, stream: str | None = None,
+    store: Store, part: Part, base: Commit, run_at: datetime, stream: str | None = None,
     stream_batch: int | None = None,
 ) -> PullReport:
     """Fold the staged listings into both tables and publish them together."""

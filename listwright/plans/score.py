@@ -35,6 +35,8 @@ class ScoreRun:
     cycle: str = CYCLE_YEAR
     open_seasons: tuple[str, ...] = OPEN_SEASONS
     chunks: int = 8
+    # Concurrent scorer calls; the number of shuffle partitions if not given.
+    parallel_calls: int | None = None
 
     def template(self) -> scoring.RequestTemplate:
         return scoring.RequestTemplate(profile=self.profile.text, resume=self.resume.text)
@@ -84,7 +86,10 @@ def _score_chunk(
     store: Store, run: ScoreRun, factory: scoring.ScorerFactory, todo: DataFrame, now: Column
 ) -> Row:
     """Call, parse and append one chunk; returns how many were scored and how many failed."""
-    spread = todo.repartition("job_id")
+    # Spread by an explicit number: rows are small but calls are slow, and adaptive execution would
+    # merge small partitions into a few.
+    calls = run.parallel_calls or int(store.spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = todo.repartition(calls, "job_id")
     answers_part = store.write_part(
         "responses", scoring.call_scorer(spread, factory, run.template())
     )

@@ -5,8 +5,9 @@ small Parquet file appended to the commit log: it names, for each table, the dir
 up its content. Readers take the newest commit, so a run that dies half way leaves nothing visible.
 
 Merged tables are kept as a base plus the folds of later batches. A batch therefore writes only its
-own keys, not the whole table; readers fold the few directories together, and once there are
-`max_parts` of them the next commit writes them as one.
+own keys, not the whole table. Readers fold the directories together; while the later batches are
+few rows, only the keys they touch are folded and the rest of the base is not moved. Once there are
+`max_parts` directories the next commit writes them as one.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ import json
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from listwright import schemas
 from listwright.operators import merge
@@ -27,17 +29,41 @@ COMMIT_SCHEMA = "version bigint, content string, stream string, stream_batch big
 # fold(rows, columns): rows of one key in several directories become one row.
 Fold = Callable[..., DataFrame]
 
-# Append-only tables have no fold.
-FOLDS: dict[str, Fold] = {"jobs": merge.fold_jobs, "companies": merge.fold_companies}
+
+
+@dataclass(frozen=True)
+class Merged:
+    """How a merged table folds, and the one column that identifies its rows."""
+
+    key: str
+    fold: Fold
+
+
+# Append-only tables are not listed.
+MERGED = {
+    "jobs": Merged("job_id", merge.fold_jobs),
+    "companies": Merged("company_id", merge.fold_companies),
+}
+
+# Later batches with at most this many rows have their keys broadcast. The keys of the stored tables
+# are 32 characters, so this bounds the broadcast to some tens of megabytes.
+BROADCAST_KEYS = 500_000
+
+
+class Part(NamedTuple):
+    """A written directory and its number of rows."""
+
+    path: str
+    rows: int
 
 
 @dataclass(frozen=True)
 class Commit:
     version: int = 0
-    content: dict[str, list[str]] = field(default_factory=dict)
+    content: dict[str, list[Part]] = field(default_factory=dict)
 
-    def parts(self, table: str) -> list[str]:
-        return list(self.content.get(table, []))
+    def parts(self, table: str) -> list[Part]:
+        return [Part(*part) for part in self.content.get(table, [])]
 
 
 class ConcurrentCommitError(RuntimeError):
@@ -46,14 +72,16 @@ class ConcurrentCommitError(RuntimeError):
 
 class Store:
     def __init__(
-        self, spark: SparkSession, root: str, tables: dict | None = None,
-        folds: dict[str, Fold] | None = None, max_parts: int = 8,
+        self, spark: SparkSession, root: str, tables: dict[str, T.StructType] | None = None,
+        merged: dict[str, Merged] | None = None, max_parts: int = 8,
+        broadcast_keys: int = BROADCAST_KEYS,
     ):
         self.spark = spark
         self.root = root.rstrip("/")
         self.tables = dict(schemas.TABLES if tables is None else tables)
-        self.folds = dict(FOLDS if folds is None else folds)
+        self.merged = dict(MERGED if merged is None else merged)
         self.max_parts = max_parts
+        self.broadcast_keys = broadcast_keys
 
     # --- commit log ------------------------------------------------------------------------------
 
@@ -78,7 +106,7 @@ class Store:
         return Commit(newest[0].version, json.loads(newest[0].content))
 
     def commit(
-        self, base: Commit, changes: dict[str, list[str]], stream: str | None = None,
+        self, base: Commit, changes: dict[str, list[Part]], stream: str | None = None,
         stream_batch: int | None = None,
     ) -> Commit:
         """Publish new directory lists for some tables on top of `base`."""
@@ -100,9 +128,9 @@ class Store:
 
     # --- reading ---------------------------------------------------------------------------------
 
-    def _load(self, table: str, parts: Iterable[str]) -> DataFrame:
+    def _load(self, table: str, parts: Iterable[Part]) -> DataFrame:
         schema = self.tables[table]
-        paths = [f"{self.root}/{part}" for part in parts]
+        paths = [self.path(part) for part in parts]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return (
@@ -116,43 +144,50 @@ class Store:
     ) -> DataFrame:
         """Table content at a commit, with its declared schema; empty if never written."""
         parts = (commit or self.current()).parts(table)
-        rows = self._load(table, parts)
-        fold = self.folds.get(table)
-        if fold and len(parts) > 1:
-            rows = fold(rows, columns)
-        return rows.select(*columns) if columns else rows
+        wanted = list(columns or self.tables[table].fieldNames())
+        how = self.merged.get(table)
+        if how is None or len(parts) < 2:
+            return self._load(table, parts).select(*wanted)
+        if sum(part.rows for part in parts[1:]) > self.broadcast_keys:
+            return how.fold(self._load(table, parts), columns).select(*wanted)
+        base, later = self._load(table, parts[:1]), self._load(table, parts[1:])
+        touched = F.broadcast(later.select(how.key).distinct())
+        changed = base.join(touched, how.key, "left_semi").select(*base.columns)
+        unchanged = base.join(touched, how.key, "left_anti")
+        return unchanged.select(*wanted).unionByName(
+            how.fold(changed.unionByName(later), columns).select(*wanted)
+        )
 
     def read_unfolded(self, table: str, commit: Commit) -> DataFrame:
         """All rows of all parts: a key may occur once per part."""
         return self._load(table, commit.parts(table))
 
-    # --- writing ---------------------------------------------------------------------------------
+    def read_part(self, part: Part, schema: T.StructType | str) -> DataFrame:
+        """One directory, also when it holds no rows and so no files."""
+        return self.spark.read.schema(schema).parquet(self.path(part))
 
-    def new_part(self, table: str) -> str:
-        return f"{table}/part={uuid.uuid4().hex}"
+    # --- writing ---------------------------------------------------------------------------------
 
-    def path(self, part: str) -> str:
-        return f"{self.root}/{part}"
+    def path(self, part: Part) -> str:
+        return f"{self.root}/{part.path}"
 
-    def write_part(self, table: str, rows: DataFrame, partition_by: tuple[str, ...] = ()) -> str:
-        part = self.new_part(table)
-        writer = rows.write.mode("errorifexists")
+    def write_part(self, table: str, rows: DataFrame, partition_by: tuple[str, ...] = ()) -> Part:
+        """Write rows to a new directory; nothing refers to it until it is committed."""
+        path = f"{table}/part={uuid.uuid4().hex}"
+        counted = Observation()
+        writer = rows.observe(counted, F.count(F.lit(1)).alias("rows")).write
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path(part))
-        return part
-
-    def read_part(self, part: str, schema: T.StructType | str) -> DataFrame:
-        """One directory, also when it holds no rows and so no files."""
-        return self.spark.read.schema(schema).parquet(self.path(part))
+        writer.mode("errorifexists").parquet(f"{self.root}/{path}")
+        return Part(path, counted.get["rows"])
 
-    def write_fold(self, table: str, batch: DataFrame, base: Commit) -> list[str]:
-        """Write the fold of a batch; returns the directory list the table then has."""
-        parts = base.parts(table)
+    def write_fold(self, table: str, batch: DataFrame, base: Commit) -> list[Part]:
+        """Write the fold of a batch; returns the directories the table then has."""
+        fold, parts = self.merged[table].fold, base.parts(table)
         if len(parts) + 1 < self.max_parts:
-            return [*parts, self.write_part(table, self.folds[table](batch))]
+            return [*parts, self.write_part(table, fold(batch))]
         everything = self._load(table, parts).unionByName(batch)
-        return [self.write_part(table, self.folds[table](everything))]
+        return [self.write_part(table, fold(everything))]
 
     def initialize(self) -> Commit:
         """Commit the empty store if there is none yet; otherwise change nothing."""
