@@ -449,7 +449,7 @@ def first_nonnull_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _companies(spark, sf_dir).select("name_normalized", "ats_provider", "ats_token")
 
 
-@query("pulled_jobs", f"""
+PULLED_JOBS_SQL = f"""
 WITH {FEED_SQL},
 ranked AS (
   SELECT *, {_FINGERPRINT_SQL} AS fingerprint,
@@ -461,7 +461,10 @@ SELECT l.source, l.source_id, f.fingerprint, f.name_normalized AS company, l.tit
   array_to_string(l.locations, '|') AS locations, f.pos AS first_pos, l.pos AS last_pos
 FROM ranked l JOIN ranked f ON f.source = l.source AND f.source_id = l.source_id AND f.up = 1
 WHERE l.down = 1
-""")
+"""
+
+
+@query("pulled_jobs", PULLED_JOBS_SQL)
 def pulled_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The jobs table after a pull of all feeds, joined to its company key."""
     run_at = F.lit("2024-01-01 00:00:00").cast("timestamp")
