@@ -366,8 +366,8 @@ def _state_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     def shaped(rows: DataFrame) -> DataFrame:
         return merge.sightings(rows, SIGHTING, F.col("event_id"))
 
-    stored = merge.fold(shaped(events.filter(~F.col("is_batch"))), SIGHTING)
-    return stored, shaped(events.filter("is_batch"))
+    # The earlier events stand for the state as they are: folding them first changes nothing.
+    return shaped(events.filter(~F.col("is_batch"))), shaped(events.filter("is_batch"))
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Size-checked broadcast."""
+"""Size-checked broadcast and spreading of scans that split too coarsely."""
 
 from __future__ import annotations
 
@@ -18,3 +18,13 @@ def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     if len(head) > max_rows:
         return side
     return F.broadcast(side.sparkSession.createDataFrame(head, side.schema))
+
+
+def spread_if_few(scan: DataFrame) -> DataFrame:
+    """The rows of a scan over all cores, if its files make fewer tasks than there are cores.
+
+    For steps that cost far more than moving their input, such as parsing: two large feed files
+    would otherwise keep two cores busy. A scan with enough splits is returned unchanged.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

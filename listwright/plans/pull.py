@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from listwright import schemas
 from listwright.operators import merge
 from listwright.operators.normalize import BAD, KEPT, enrich, normalize, verdict_counts
+from listwright.operators.sizing import spread_if_few
 from listwright.sources.feeds import Feed, feed_status, read_feeds
 from listwright.sources.store import Commit, Part, Store
 
@@ -61,7 +62,7 @@ def pull(
 ) -> PullReport:
     """One pull of all feeds. Nothing is visible to readers until the final commit."""
     base = store.initialize()
-    raw = read_feeds(store.spark, registry)
+    raw = spread_if_few(read_feeds(store.spark, registry))
     part = stage(store, raw, base.version + 1)
     return merge_staged(store, part, base, run_at or datetime.now(timezone.utc))
 

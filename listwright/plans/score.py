@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from listwright.fixed_values import CYCLE_YEAR, OPEN_SEASONS
 from listwright.functions.rules import TierRules
@@ -77,15 +77,15 @@ def score(
     scored = failed = 0
     for row in queue.groupBy("chunk").count().orderBy("chunk").collect():
         todo = queue.filter(F.col("chunk") == row.chunk).drop("chunk")
-        counts = _score_chunk(store, run, factory, todo, now)
-        scored, failed = scored + counts.scored, failed + counts.failed
+        answered, unusable = _score_chunk(store, run, factory, todo, now)
+        scored, failed = scored + answered - unusable, failed + unusable
     return ScoreReport(scored + failed, scored, failed)
 
 
 def _score_chunk(
     store: Store, run: ScoreRun, factory: scoring.ScorerFactory, todo: DataFrame, now: Column
-) -> Row:
-    """Call, parse and append one chunk; returns how many were scored and how many failed."""
+) -> tuple[int, int]:
+    """Call, parse and append one chunk; returns the number of answers and of failed ones."""
     # Spread by an explicit number: rows are small but calls are slow, and adaptive execution would
     # merge small partitions into a few.
     calls = run.parallel_calls or int(store.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -117,10 +117,10 @@ def _score_chunk(
         F.lit(batch_id).cast("bigint").alias("batch_id"),
     )
     by_version = ("profile_version", "resume_version")
+    score_part = store.write_part("match_scores", fresh, by_version)
+    dead_part = store.write_part("dead_scores", dead)
     store.commit(base, {
-        "match_scores": [
-            *base.parts("match_scores"), store.write_part("match_scores", fresh, by_version)
-        ],
-        "dead_scores": [*base.parts("dead_scores"), store.write_part("dead_scores", dead)],
+        "match_scores": [*base.parts("match_scores"), score_part],
+        "dead_scores": [*base.parts("dead_scores"), dead_part],
     })
-    return scoring.outcome_counts(parsed).first()
+    return answers_part.rows, dead_part.rows

@@ -18,7 +18,6 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from listwright import schemas
@@ -70,6 +69,11 @@ class ConcurrentCommitError(RuntimeError):
     """Two writers committed the same version."""
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 class Store:
     def __init__(
         self, spark: SparkSession, root: str, tables: dict[str, T.StructType] | None = None,
@@ -86,12 +90,10 @@ class Store:
     # --- commit log ------------------------------------------------------------------------------
 
     def _log(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(COMMIT_SCHEMA).parquet(f"{self.root}/commits")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
+        path = f"{self.root}/commits"
+        if not path_exists(self.spark, path):
             return None
+        return self.spark.read.schema(COMMIT_SCHEMA).parquet(path)
 
     def current(self) -> Commit:
         """The newest commit; an empty one when nothing was ever committed."""
