@@ -104,9 +104,9 @@ def stream_dedup_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     no_places = F.array().cast("array<string>")
     listed = _stream(spark, sf_dir, "documents").select(
         tx.fingerprint(F.col("lang"), F.col("text"), no_places).alias("fingerprint"),
-        (F.lit(1700000000) + F.col("doc_id")).alias("posted_at"),
+        F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id")).alias("posted"),
     )
-    once = stream_dedup(listed, "36500 days").select("fingerprint")
+    once = stream_dedup(listed, "36500 days", F.col("posted")).select("fingerprint")
     return _written(spark, once, scratch_dir(spark, "stream-dedup"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from listwright.functions.rules import TierRules
 from listwright.operators.tiering import DEFAULT_RULES, in_tiers, with_tier
@@ -17,12 +17,17 @@ def stream_tiers(
 
 
 def stream_dedup(
-    listings: DataFrame, delay: str, posted: str = "posted_at", content: str = "fingerprint"
+    listings: DataFrame, delay: str, event_time: Column | None = None,
+    content: str = "fingerprint",
 ) -> DataFrame:
-    """One listing per content key among those posted within `delay` of each other.
+    """One listing per content key among those at most `delay` apart.
 
     State for a key is dropped once the watermark passes, so it is bounded by what arrives in
-    `delay` and not by the length of the stream.
+    `delay` and not by the length of the stream. Rows behind the watermark are late and are not
+    emitted. By default the time is that of arrival, which is never late; with another time, such as
+    the posting time, `delay` has to cover how far out of order it can be.
     """
-    timed = listings.withColumn("posted_time", F.timestamp_seconds(posted))
-    return timed.withWatermark("posted_time", delay).dropDuplicatesWithinWatermark([content])
+    timed = listings.withColumn(
+        "event_time", F.current_timestamp() if event_time is None else event_time
+    )
+    return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark([content])

@@ -24,9 +24,20 @@ def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
+def plan_problems(frame, name):
+    """Operators that would not hold at scale, and Python where none is needed."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    barred = ("CartesianProduct", "NestedLoopJoin", "Window ", "Window [")
+    found = [operator for operator in barred if operator in plan]
+    if ("Python" in plan or "MapInPandas" in plan) != (name == "scorer_calls"):
+        found.append("Python")
+    return found
+
+
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query(spark, connection, name):
     frame = contract.queries()[name](spark, SF)
+    assert not plan_problems(frame, name)
     check = contract.oracle_sql().get(name)
     if check is None:
         assert frame.count() > 0

@@ -1,0 +1,59 @@
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+import __spark_entry__ as contract
+from listwright.operators.sizing import broadcast_if_small, spread_if_few
+from listwright.session import shuffle_conf
+from listwright.sources.scratch import scratch_dir
+from listwright.sources.store import Store
+from tests.test_catalog import SF
+
+def physical(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scans_are_pruned_and_filters_pushed(spark):
+    plan = physical(contract.queries()["score_insert_ignore"](spark, SF))
+    assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,A)" in plan
+    narrow = physical(contract.queries()["duplicate_key_check"](spark, SF))
+    assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int>" in narrow
+
+
+def test_scores_are_read_by_version(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    base = store.initialize()
+    row = ("j", "p1", "r1", 1, 1, True, [], [], None, None, "keyword", "m",
+           datetime(2024, 1, 1), 1)
+    part = store.write_part(
+        "match_scores", spark.createDataFrame([row], store.tables["match_scores"]),
+        ("profile_version", "resume_version"),
+    )
+    store.commit(base, {"match_scores": [part]})
+    rows = store.read("match_scores").filter("profile_version = 'p1' AND resume_version = 'r1'")
+    plan = physical(rows)
+    assert "PartitionFilters: [isnotnull(profile_version" in plan
+    assert rows.count() == 1
+    assert store.read("match_scores").filter("profile_version = 'p2'").count() == 0
+
+
+def test_sizing(spark):
+    few, many = spark.range(5), spark.range(200)
+    assert "broadcast" in broadcast_if_small(few, 5)._jdf.queryExecution().analyzed().toString()
+    assert broadcast_if_small(many, 5) is many
+    coarse = spark.range(0, 100, 1, 1)
+    assert spread_if_few(coarse).rdd.getNumPartitions() == 4
+    assert spread_if_few(many) is many
+    assert spread_if_few(coarse).agg(F.sum("id")).first()[0] == 4950
+
+
+def test_shuffle_conf_grows_with_the_input():
+    assert shuffle_conf(0, 8)["spark.sql.shuffle.partitions"] == "16"
+    assert int(shuffle_conf(100 << 40, 4000)["spark.sql.shuffle.partitions"]) == 819200
+
+
+def test_scratch_is_under_the_shared_folder(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
+    if before:
+        assert scratch_dir(spark, "x").startswith(before.rstrip("/"))

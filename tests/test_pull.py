@@ -86,6 +86,10 @@ def test_second_pull_updates_mutable_columns_only(world):
     assert status == {"one": "ok", "two": "failed"}
     stale = {(r.source, r.source_id) for r in report.stale_listings(store).collect()}
     assert stale == {("one", "2")}
+    twice = report.cross_source_duplicates(store).collect()
+    assert [(r.fingerprint, r.sources) for r in twice] == [(old.fingerprint, "one,two")]
+    drifted = report.fingerprints(store).filter("fingerprint <> fingerprint_current")
+    assert [r.job_id for r in drifted.collect()] == [new.job_id]
 
 
 def test_same_pull_twice_only_refreshes_last_seen(world):

@@ -121,6 +121,15 @@ def test_audits(spark):
     assert (got["all"].covered, got["all"].outside, got["all"].above) == (10, 9, 6)
     assert got["none"].outside_share is None
     assert (got["high"].outside, got["high"].outside_share) == (1, 0.333333)
+    titled = spark.createDataFrame(
+        [("Quantitative Researcher", 50), ("SWE Intern", 20), ("Strategy Intern", 70),
+         ("AI Research Intern", 60), ("FPGA", 10), ("Defense Software", 30), ("Insights", 41)],
+        "title string, s int",
+    )
+    roles = audits.range_audit(titled, F.col("s"), audits.role_rules(F.col("title"))).collect()
+    assert [(r.covered, r.outside) for r in roles] == [
+        (1, 1), (1, 0), (1, 0), (1, 1), (1, 0), (1, 0), (1, 1),
+    ]
     split = audits.axis_split(frame).first()
     assert (split.wanted_not_qualified, split.qualified_not_wanted) == (4, 2)
     cluster = audits.cluster_share(frame, bounds=(65, 100)).first()
@@ -205,6 +214,8 @@ def test_scoring_run_calls_once_per_queued_job_and_resumes(store, tmp_path):
     assert newer.queued == 2
     latest = report.latest_profile(store).first().profile_version
     assert latest == other.profile.version != PROFILE.version
+    assert report.review_frame(store).count() == 14
+    assert report.review_frame(store, latest_only=True).count() == 2
 
 
 def test_run_that_dies_keeps_its_finished_chunks(store, tmp_path, monkeypatch):

@@ -103,16 +103,19 @@ def test_stream_tiers(spark, tmp_path):
     ]
 
 
-def test_stream_dedup_within_the_delay(spark, tmp_path):
+def test_stream_dedup_by_arrival_and_by_posting_time(spark, tmp_path):
     rows = [
-        [("Acme", "x", "f1", 1000), ("Acme", "x", "f1", 1010), ("Bolt", "y", "f2", 1000)],
-        [("Acme", "x", "f1", 1500), ("Cargo", "z", "f3", 1500)],
+        [("Acme", "x", "f1", 9000), ("Acme", "x", "f1", 9010), ("Bolt", "y", "f2", None)],
+        [("Acme", "x", "f1", 100), ("Cargo", "z", "f3", 8000), ("Bolt", "y", "f2", 1)],
     ]
     stream = listings_stream(spark, tmp_path / "in", rows)
-    got = collected(
-        spark, stream_dedup(stream, "1 hour").select("fingerprint"), "dedup", str(tmp_path / "c")
-    )
+    arrival = stream_dedup(stream, "1 hour").select("fingerprint")
+    got = collected(spark, arrival, "by_arrival", str(tmp_path / "c1"))
     assert sorted(r.fingerprint for r in got) == ["f1", "f2", "f3"]
+    posted = stream.filter("posted_at IS NOT NULL")
+    by_time = stream_dedup(posted, "1 hour", F.timestamp_seconds("posted_at"))
+    got = collected(spark, by_time.select("fingerprint"), "by_posting", str(tmp_path / "c2"))
+    assert sorted(r.fingerprint for r in got)[:1] == ["f1"]
 
 
 def test_lines_feed_streams_too(spark, tmp_path):
