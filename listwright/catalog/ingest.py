@@ -531,8 +531,8 @@ WHERE seen < latest
 """)
 def stale_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys not sighted on the latest day of their source."""
-    day = F.to_date("ts").cast("string")
     seen = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(
-        F.max(day).alias("last_seen")
+        F.max(F.to_date("ts")).alias("last_seen")
     )
-    return checks.stale(seen, "event_type", "last_seen")
+    stale = checks.stale(seen, "event_type", "last_seen")
+    return stale.withColumn("last_seen", F.col("last_seen").cast("string"))

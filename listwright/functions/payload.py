@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# JSON texts, other than the empty text, that count as false; every number equal to zero is written as one of the zeros.
+# JSON texts, other than the empty text, that count as false. Every number equal to zero is written
+# as one of the zeros.
 FALSY = ("null", "false", "0", "0.0", "-0.0", "[]", "{}")
 
 

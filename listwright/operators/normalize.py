@@ -52,16 +52,17 @@ def season_of(doc: Column) -> Column:
 def problem_of(doc: Column) -> Column:
     """Why an object that is not skipped cannot become a listing, or null."""
 
-    def not_texts(name: str) -> Column:
-        items = js.as_strings(doc[name])
-        return items.isNull() | F.exists(items, lambda item: item.isNull())
-
     problem = F.when(js.is_kind(doc["id"], "ARRAY", "OBJECT"), F.lit("id type"))
     for name in ("company_name", "title", "url"):
         problem = problem.when(~js.is_kind(doc[name], "STRING"), F.lit(f"{name} type"))
-    for name in ("locations", "degrees"):
-        problem = problem.when(not_texts(name), F.lit(f"{name} type"))
-    return problem
+    places = doc["locations"]
+    # A null among texts does not show in the list's schema.
+    all_texts = (F.schema_of_variant(places) == "ARRAY<STRING>") & ~F.exists(
+        js.as_strings(places), lambda place: place.isNull()
+    )
+    return problem.when(
+        js.is_truthy(places) & ~all_texts, F.lit("locations type")
+    ).when(js.as_strings(doc["degrees"]).isNull(), F.lit("degrees type"))
 
 
 def normalize(raw: DataFrame, batch_id: int | Column) -> DataFrame:

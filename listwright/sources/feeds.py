@@ -101,6 +101,14 @@ def read_feeds(spark: SparkSession, registry: Sequence[Feed]) -> DataFrame:
     return union_all(parts)
 
 
+def land_as_lines(raw: DataFrame, path: str) -> None:
+    """Write the objects of feeds of one source in the ``lines`` layout, with their positions."""
+    line = F.concat(
+        F.lit('{"pos":'), F.col("pos").cast("string"), F.lit(',"listing":'), "payload", F.lit("}")
+    )
+    raw.filter(F.col("payload").isNotNull()).select(line.alias("value")).write.text(path)
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda left, right: left.unionByName(right), parts)
 

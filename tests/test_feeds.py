@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listwright.operators import normalize as nz
-from listwright.sources.feeds import Feed, feed_status, read_feeds
+from listwright.sources.feeds import Feed, feed_status, land_as_lines, read_feeds
 
 
 def entry(**fields):
@@ -53,6 +53,10 @@ CASES = [
     (entry(locations=None, degrees=None), "kept", {"locations": [], "degrees": []}),
     (entry(locations=["NYC", None]), "bad", {}),
     (entry(locations="NYC"), "bad", {}),
+    (entry(locations=["NYC", 5]), "bad", {}),
+    (entry(locations=[["NYC"]]), "bad", {}),
+    (entry(degrees=["BS", None]), "kept", {"degrees": ["BS", None]}),
+    (entry(degrees="BS"), "bad", {}),
     (entry(date_posted=1700000000, date_updated=None), "kept",
      {"posted_at": 1700000000, "updated_at": None}),
     (entry(company_url=""), "kept", {"company_url": None}),
@@ -155,6 +159,18 @@ def test_most_common_counts_null_and_breaks_ties_by_arrival(spark):
     assert [(r.season, r.n) for r in top] == [("b", 2), (None, 2), ("a", 2)]
 
 
+def test_landed_lines_give_the_same_listings(spark, feed_dir, tmp_path):
+    raw = read_feeds(spark, [Feed("one", str(feed_dir / "two.json"))])
+    land_as_lines(raw, str(tmp_path / "landed"))
+    landed = read_feeds(spark, [Feed("one", str(tmp_path / "landed"), layout="lines")])
+
+    def listings(rows):
+        kept = nz.normalize(rows, 1).withColumn("pos", F.col("seq.pos")).drop("seq")
+        return sorted(map(str, kept.collect()))
+
+    assert listings(raw) == listings(landed) != []
+
+
 def test_parsing_happens_once_per_payload(judged):
     plan = judged.filter("verdict = 'kept'")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
