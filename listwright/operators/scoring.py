@@ -55,7 +55,7 @@ def render_listing(
     return F.concat(
         F.lit("company: "), company,
         F.lit("\ntitle: "), title,
-        F.lit("\nlocations: "), F.array_join(locations, ", "),
+        F.lit("\nlocations: "), F.coalesce(F.array_join(locations, ", "), F.lit("")),
         F.lit("\nseason: "), tx.or_default(season, UNSPECIFIED),
         F.lit("\nsponsorship: "), tx.or_default(sponsorship, UNSPECIFIED),
         F.lit("\nurl: "), url,
