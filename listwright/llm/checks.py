@@ -1,0 +1,63 @@
+"""Check SQL (DuckDB) of the queries that SQL can express."""
+
+CHECKS: dict[str, str] = {}
+
+#: Words of letters, digits and characters beyond ASCII, A-Z lower-cased.
+_WORDS = (
+    "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',"
+    " 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+)
+
+CHECKS["op3_benchmark_decontamination"] = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark),
+win as (
+  select distinct item_id, least(len(w), 13) as n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') as win
+  from b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as r(i) where len(w) > 0
+),
+lengths as (select distinct n from win),
+dw as (
+  select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as win
+  from d, lengths, unnest(range(1, len(w) - n + 2)) as r(i) where len(w) >= n
+),
+hit as (select doc_id, i, win.n, item_id from dw join win using (n, win)),
+covered as (select doc_id, count(distinct p) as n_hit from hit, unnest(range(i, i + n)) as r(p) group by 1),
+items as (
+  select doc_id, count(distinct item_id) as n_items,
+    sha256(string_agg(distinct item_id::varchar, ',' order by item_id::varchar)) as items_sha256
+  from hit group by 1
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+  coalesce(n_items, 0)::bigint as n_items, coalesce(items_sha256, sha256('')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join covered using (doc_id) left join items using (doc_id)
+"""
+
+CHECKS["op10_line_dedup"] = """
+with l as (
+  select doc_id, text, i as place, string_split(text, chr(10))[i] as line,
+    len(list_filter(string_split_regex(string_split(text, chr(10))[i], '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) as words
+  from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) as r(i)
+),
+w as (select *, row_number() over (partition by doc_id order by place) as k from l where words > 0),
+s as (
+  select *, lead(line) over o as line2, lead(line, 2) over o as line3, lead(words) over o as words2,
+    lead(place) over o as place2, lead(place, 2) over o as place3
+  from w window o as (partition by doc_id order by k)
+),
+win as (
+  select doc_id, k, [line] as win, [place] as places from s where words >= 50
+  union all select doc_id, k, [line, line2], [place, place2] from s where words + words2 >= 50
+  union all select doc_id, k, [line, line2, line3], [place, place2, place3] from s where line3 is not null
+),
+ranked as (select *, row_number() over (partition by win order by doc_id, k) as nth from win),
+gone as (select distinct doc_id, unnest(places) as place from ranked where nth > 1),
+kept as (
+  select l.doc_id, count(g.place) as n_removed,
+    coalesce(string_agg(line, chr(10) order by l.place) filter (g.place is null), '') as text
+  from l left join gone g on l.doc_id = g.doc_id and l.place = g.place group by 1
+)
+select d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines,
+  coalesce(n_removed, 0)::bigint as n_removed, kept.text
+from documents d left join kept using (doc_id)
+"""
