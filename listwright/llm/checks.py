@@ -61,3 +61,40 @@ select d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_li
   coalesce(n_removed, 0)::bigint as n_removed, kept.text
 from documents d left join kept using (doc_id)
 """
+
+_SPACED = "list_filter(string_split_regex(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+CHECKS["op7_url_filter"] = """
+with rules(key, verdict) as (values ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'),
+  ('net/es/', 'block'), ('net/fr/', 'block')),
+r as (select *, split_part(key, '/', 1) as rule_host, substr(key, instr(key, '/')) as rule_path from rules),
+p as (
+  select row_number() over () as id, page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest
+  from pages
+),
+h as (
+  select id, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from p
+),
+fits as (
+  select id, arg_max(key, len(key)) as rule, arg_max(verdict, len(key)) as verdict
+  from h join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by 1
+)
+select page_id, coalesce(host, '') as host, coalesce(path, '') as path, rule, coalesce(verdict, case when regexp_matches(host,
+  '(^|\\.)(ads-track\\.example\\.com|spam-farm\\.example\\.org|casino-win\\.example\\.net|adult-x\\.example\\.com|cheap-pills\\.example\\.net|free-bets\\.example\\.net)$')
+  and starts_with(path, '/') then 'block' end, 'allow') as verdict
+from h left join fits using (id)
+"""
+
+CHECKS["op8_lm_scores"] = f"""
+with d as (select row_number() over () as id, doc_id, {_SPACED.format('text')} as w from documents),
+pairs as (
+  select id, unnest(list_prepend(chr(2), w[:-2])) as v, unnest(w) as w from d where len(w) > 0
+),
+c2 as (select v, w, count(*) as n from pairs group by all),
+c1 as (select v, sum(n) as n from (
+  select w as v, n from c2 union all select chr(2), count(*) from d where len(w) > 0) group by 1),
+s as (select id, avg(ln(c2.n / c1.n)) as score from pairs join c2 using (v, w) join c1 using (v) group by 1)
+select doc_id, len(w)::bigint as n_words, round(score, 6) as score from d left join s using (id)
+"""

@@ -8,7 +8,7 @@ are yes or no; the grade of a toxic document is taken from how many of its disti
 chosen feature: one is grade 1, two or three grade 2, more grade 3, and grade 1 if none does.
 
 A bounded sample is fitted: per class, the `per_class` labelled documents with the smallest hash
-of their id. Counting is spread over the executors; the driver gets the chosen features of the
+of their id; equal texts count once. Counting is spread over the executors; the driver gets the chosen features of the
 sample, at most `max_features` of them, and the lists of their numbers.
 
 Defined cases: null, empty and wordless texts have no features and get the grade of the
@@ -29,9 +29,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 GRADES = 4
 PER_CLASS = 10_000
 MAX_FEATURES = 8192
-#: A feature is chosen if it is in so many toxic documents, and so many times as common in them.
-LEAST_TOXIC = 3
-LEAST_RATIO = 8.0
+#: A feature is chosen if it is so many times as common in toxic documents, and the likelihood ratio
+#: of its counts (natural logarithm) leaves no room for chance among all rare words.
+LEAST_RATIO = 4.0
+LEAST_GAIN = 20.0
 PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -81,7 +82,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     # at most 2 * per_class rows of two numbers
     return docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select(
         docs["text"], F.col("_toxic").cast("int").alias("toxic")
-    )
+    ).dropDuplicates()
 
 
 def _class_counts(batches):
@@ -105,8 +106,13 @@ def chosen_features(sample: DataFrame, max_features: int = MAX_FEATURES) -> list
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
     )
     ratio = ((F.col("toxic") + 0.5) / (totals[True] + 1)) / ((F.col("clean") + 0.5) / (totals[False] + 1))
-    rows = counts.filter((F.col("toxic") >= LEAST_TOXIC) & (ratio >= LEAST_RATIO)).orderBy(
-        (F.col("toxic") * F.log(ratio)).desc(), "feature"
+    share = totals[True] / (totals[True] + totals[False])
+    n = F.col("toxic") + F.col("clean")
+    gain = F.col("toxic") * F.log(F.col("toxic") / (n * share)) + F.when(
+        F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - share)))
+    ).otherwise(0.0)
+    rows = counts.filter((F.col("toxic") > 0) & (ratio >= LEAST_RATIO) & (gain >= LEAST_GAIN)).orderBy(
+        gain.desc(), "feature"
     ).limit(max_features).collect()
     return [r["feature"] for r in rows]
 
@@ -115,11 +121,15 @@ def _grade(toxic: int, holding: int) -> int:
     return 0 if not toxic else 1 if holding < 2 else 2 if holding < 4 else 3
 
 
-def fit_ordinal(rows: list[tuple[tuple[int, ...], int, int]], n_features: int, steps: int = 300,
-                penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds for (features, grade, count) rows, by Adam on all rows."""
+def fit_ordinal(rows: list[tuple[tuple[int, ...], int, int]], n_features: int, steps: int = 800,
+                penalty: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds for (features, grade, count) rows, by Adam on all rows.
+
+    Rows with and without severity weigh the same in all."""
     counts = np.array([r[2] for r in rows], float)
     grades = np.array([r[1] for r in rows])
+    for side in (grades == 0, grades > 0):
+        counts[side] /= max(counts[side].sum(), 1)
     owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     feature = np.array([f for r in rows for f in r[0]], int)
     k = GRADES - 1
@@ -149,7 +159,7 @@ def fit_ordinal(rows: list[tuple[tuple[int, ...], int, int]], n_features: int, s
         gradient = np.zeros_like(value)
         if len(feature):
             gradient[:n_features] = np.bincount(feature, by_score[owner], n_features)
-        gradient[:n_features] += penalty * value[:n_features] / max(n_features, 1)
+        gradient[:n_features] += penalty * value[:n_features]
         gradient[n_features] = by_t.sum()
         gradient[n_features + 1:] = np.exp(value[n_features + 1:]) * np.cumsum(by_t[::-1])[::-1][1:]
         first = 0.9 * first + 0.1 * gradient
