@@ -176,10 +176,10 @@ def with_furniture(page: list[Block], labels: list[int], number: int) -> tuple[l
         step += 1
 
     add(outer)
-    for block, label in zip(page, labels):
+    for place, (block, label) in enumerate(zip(page, labels)):
         made.append(block)
         marks.append(label)
-        if label:
+        if label and place % 3 == number % 3:
             add(article)
     add(article)
     add(outer)

@@ -4,7 +4,7 @@ A listed URL is a host and a path, "example.com/en/". One that ends with a slash
 subdomains and every path that starts with its own; one that doesn't fits only that path, on the
 host and its subdomains. A page is asked for under each suffix of its host and each leading part of
 its path that ends with a slash, and its whole path. Each such key picks one block of the filter
-and eight bits in it; keys whose bits are all set are joined with the list, which removes false
+and two bits in each of its four words; keys whose bits are all set are joined with the list, which removes false
 positives. The longest listed URL wins, then the one with the longer host.
 
 The filter has `n_blocks` blocks of 256 bits however long the list, so it is what is broadcast. A
@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from listwright.llm.base import LOWER, UPPER
 
 N_BLOCKS = 1 << 15
-PROBES = 8
 WORDS = 4
 ALLOW, BLOCK = "allow", "block"
 
@@ -38,16 +37,14 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def _masks(key: Column) -> list[Column]:
-    """The bits of a key in its block, as four words of 64 bits."""
+    """The bits of a key in its block: two in each of four words of 64 bits."""
     h = F.xxhash64(F.lit("bits"), key)
-    bits = [F.shiftrightunsigned(h, 8 * n).bitwiseAND(F.lit(255)) for n in range(PROBES)]
 
-    def word(n: int) -> Column:
-        own = [F.when(F.shiftright(b, 6) == n, F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(F.lit(63)).cast("int")))
-               .otherwise(F.lit(0).cast("long")) for b in bits]
-        return reduce(lambda a, b: a.bitwiseOR(b), own)
+    def bit(n: int) -> Column:
+        place = F.shiftrightunsigned(h, 6 * n).bitwiseAND(F.lit(63)).cast("int")
+        return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
-    return [word(n) for n in range(WORDS)]
+    return [bit(2 * n).bitwiseOR(bit(2 * n + 1)) for n in range(WORDS)]
 
 
 def _block(key: Column, n_blocks: int) -> Column:

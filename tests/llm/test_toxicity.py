@@ -1,0 +1,60 @@
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from listwright.llm import toxicity
+
+DOCS, LABELS = "doc_id long, text string", "doc_id long, quality int, toxic int"
+
+
+def corpus(seed, n=600):
+    rng = random.Random(seed)
+    plain = [f"{a}{b}{c}" for a in ("ba", "ke", "mo", "ti") for b in ("ra", "lu", "no") for c in ("n", "s", "t", "")]
+    docs, labels = [], []
+    for i in range(n):
+        text = [rng.choice(plain) for _ in range(rng.randrange(5, 60))]
+        bad = rng.choice([0, 0, 0, 1, 2, 5])
+        for _ in range(bad):
+            text.insert(rng.randrange(len(text)), rng.choice(["grobian", "schuftig" + rng.choice(plain), "Wicht,"]))
+        docs.append((i, " ".join(text)))
+        labels.append((i, 1, int(bad > 0)))
+    return docs, labels
+
+
+def grades(spark, model, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    rows = frame.select("doc_id", toxicity.graded(F.col("text"), model).alias("g")).orderBy("doc_id").collect()
+    return [r["g"] for r in rows]
+
+
+def test_held_out_texts(spark):
+    docs, labels = corpus(1)
+    model = toxicity.train(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS))
+    test, truth = corpus(2, 300)
+    found = grades(spark, model, [t for _, t in test])
+    assert sum(g["toxic"] == bool(k) for g, (_, _, k) in zip(found, truth)) >= 297
+
+
+def test_severity_grows_and_unknown_words_with_a_known_stem_count(spark):
+    docs, labels = corpus(3)
+    model = toxicity.train(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS))
+    none, one, many, stem, null, empty = grades(
+        spark, model, ["bara kelu", "bara grobian", "grobian wicht schuftig schuftige", "kelu SCHUFTIGER.", None, ""])
+    assert none["severity"] < one["severity"] < many["severity"] and not none["toxic"] and one["toxic"] and stem["toxic"]
+    assert null == empty and not null["toxic"] and none["grade"] == 0
+
+
+def test_thresholds_are_ordered_and_rows_without_features_fit():
+    rows = [((), 0, 50), ((0,), 1, 20), ((0, 1), 2, 20), ((0, 1, 2), 3, 20)]
+    weights, thresholds = toxicity.fit_ordinal(rows, 3)
+    assert (np.diff(thresholds) > 0).all() and (weights > 0).all()
+    assert np.isfinite(toxicity.fit_ordinal([((), 0, 1), ((), 1, 1)], 0)[1]).all()
+
+
+def test_labels_that_say_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (None, "c")], DOCS)
+    for rows in ([], [(1, 1, 0), (2, 1, None), (None, 1, 1), (99, 0, 1)]):
+        model = toxicity.train(docs, spark.createDataFrame(rows, LABELS))
+        assert not any(g["toxic"] for g in grades(spark, model, ["a b", None, "idle"]))
+    assert docs.limit(0).select(toxicity.graded(F.col("text"), model)).count() == 0
