@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from listwright.catalog.registry import epoch_s, epoch_us, table
 from listwright.functions.rules import TierRules
 from listwright.operators.normalize import enrich, normalize
-from listwright.operators.sizing import spread_if_few
 
 # --- documents as JSON feeds ---------------------------------------------------------------------
 
@@ -42,9 +41,10 @@ def _flag(name: str, options: tuple[str, ...], number: Column) -> Column:
 
 def feed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as one raw feed object: languages are the feeds, doc_id the position."""
-    docs = spread_if_few(
-        table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    )
+    # Parsing costs far more than moving the text, and one file may be one task.
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", "source", "n_chars"
+    ).repartition("doc_id")
     d = F.col("doc_id")
     source = F.col("source")
     company = F.when(d % 17 == 0, F.lit("")).otherwise(

@@ -11,7 +11,6 @@ from listwright.catalog.adapters import (
 )
 from listwright.catalog.registry import query, table
 from listwright.operators import audits, queue as q, scoring, tiering
-from listwright.operators.sizing import spread_if_few
 
 # --- tiers ---------------------------------------------------------------------------------------
 
@@ -331,7 +330,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(e % 10 == 8, F.concat(F.lit("  "), full, F.lit("\n")))
         .otherwise(F.replace(full, F.lit('eligible": 1,'), F.lit('eligible": "",')))
     )
-    return spread_if_few(table(spark, sf_dir, "events")).select(
+    return table(spark, sf_dir, "events").repartition("event_id").select(
         F.col("event_id").alias("job_id"), F.lit("keyword").alias("tier"),
         response.alias("response"), F.lit(None).cast("string").alias("error"),
     )

@@ -93,7 +93,12 @@ QUEUE_PREVIEW_ROWS = 20
 
 # --- scoring -------------------------------------------------------------------------------------
 
-MAX_RESPONSE_TOKENS = 1024
+# Fields of an answer.
+MANDATORY = (
+    "qualification_score", "fit_score", "class_year_eligible", "top_matches", "top_gaps",
+)
+OPTIONAL = ("fit_reasoning", "summary")
+
 UNSPECIFIED = "unspecified"
 CONFIG_VERSION_HEX = 12
 FINGERPRINT_HEX = 16
@@ -114,6 +119,17 @@ ROLE_RANGES = (
     ("data_analytics", 20, 40),
 )
 
+# Titles of each role family.
+FAMILY_TITLES = {
+    "quant_research": r"\bquant(itative)? research",
+    "software_engineer": r"\b(software engineer|swe)\b",
+    "forward_deployed_or_strategy": r"\b(forward deployed|bizops|strategy|investment analyst)\b",
+    "ml_research": r"\b(applied scientist|research engineer|(ml|ai) research)",
+    "hardware": r"\b(hardware|fpga|embedded)\b",
+    "defense_software": r"\bdefense\b.*\b(software|swe)\b",
+    "data_analytics": r"\b(data scientist|data analyst|analytics engineer|insights)\b",
+}
+
 # Range in which an undecided scorer clusters.
 CLUSTER_RANGE = (70, 75)
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from listwright.fixed_values import CLUSTER_RANGE, ROLE_RANGES, SCORE_BANDS
+from listwright.fixed_values import CLUSTER_RANGE, FAMILY_TITLES, ROLE_RANGES, SCORE_BANDS
 from listwright.functions.rules import any_pattern
 
 
@@ -18,19 +18,6 @@ def score_band(score: Column, bands: Sequence[tuple[int, str]] = SCORE_BANDS) ->
     return label.otherwise(F.lit(None).cast("string"))
 
 
-# Which titles belong to a role family. The wording is this module's own; pass other rules to
-# `range_audit` to change it.
-FAMILY_TITLES = {
-    "quant_research": r"\bquant(itative)? research",
-    "software_engineer": r"\b(software engineer|swe)\b",
-    "forward_deployed_or_strategy": r"\b(forward deployed|bizops|strategy|investment analyst)\b",
-    "ml_research": r"\b(applied scientist|research engineer|(ml|ai) research)",
-    "hardware": r"\b(hardware|fpga|embedded)\b",
-    "defense_software": r"\bdefense\b.*\b(software|swe)\b",
-    "data_analytics": r"\b(data scientist|data analyst|analytics engineer|insights)\b",
-}
-
-
 def role_rules(title: Column) -> list[tuple[str, Column, int, int]]:
     """Rules of `range_audit` for the known role families."""
     return [

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from listwright.operators.sizing import broadcast_if_small
 
 
 def orphan_count(child: DataFrame, foreign_key: str, parent: DataFrame, key: str) -> DataFrame:
@@ -35,9 +34,10 @@ def null_violations(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def stale(rows: DataFrame, source: str, seen: str) -> DataFrame:
     """Rows not sighted in the latest pull of their source.
 
-    There is one latest sighting per source. It is attached by broadcast when the sources are few,
-    so the rows themselves are not moved; a window per source would gather a source in one task.
+    There is one latest sighting per source, found with a partial aggregate and joined back. The
+    join carries no hint: adaptive execution broadcasts the latest sightings by their real size and
+    otherwise splits large sources; a window per source would gather a source in one task.
     """
     latest = rows.groupBy(F.col(source).alias("_source")).agg(F.max(seen).alias("_latest"))
-    joined = rows.join(broadcast_if_small(latest), rows[source] == F.col("_source"))
+    joined = rows.join(latest, rows[source] == F.col("_source"))
     return joined.filter(F.col(seen) < F.col("_latest")).drop("_source", "_latest")

@@ -60,9 +60,19 @@ def problem_of(doc: Column) -> Column:
     all_texts = (F.schema_of_variant(places) == "ARRAY<STRING>") & ~F.exists(
         js.as_strings(places), lambda place: place.isNull()
     )
-    return problem.when(
+    problem = problem.when(
         js.is_truthy(places) & ~all_texts, F.lit("locations type")
     ).when(js.as_strings(doc["degrees"]).isNull(), F.lit("degrees type"))
+    for name in ("season", "category", "sponsorship"):
+        problem = problem.when(
+            js.is_truthy(doc[name]) & js.is_kind(doc[name], "ARRAY", "OBJECT"), F.lit(f"{name} type")
+        )
+    for name in ("date_posted", "date_updated"):
+        # A number of seconds, absent or null; anything else would lose what it says.
+        problem = problem.when(
+            doc[name].isNotNull() & ~js.is_kind(doc[name], "BIGINT", "VOID"), F.lit(f"{name} type")
+        )
+    return problem
 
 
 def normalize(raw: DataFrame, batch_id: int | Column) -> DataFrame:

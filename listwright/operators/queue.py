@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from listwright.fixed_values import (
     CYCLE_YEAR, LATEST_OPEN_SEASONS, OPEN_SEASONS, QUEUE_PREVIEW_ROWS,
 )
+from listwright.functions import text as tx
 from listwright.functions.rules import TierRules
 from listwright.operators.tiering import DEFAULT_RULES, in_tiers, with_tier
 
@@ -20,8 +21,9 @@ def is_candidate(
     active: Column, season: Column, cycle: str = CYCLE_YEAR,
     open_seasons: tuple[str, ...] = OPEN_SEASONS,
 ) -> Column:
-    """Active and of the wanted cycle; a listing without a season is not a candidate."""
-    return active & (season.contains(cycle) | season.isin(*open_seasons))
+    """Active and of the wanted cycle, in any ASCII case; a listing without a season is none."""
+    of_cycle = tx.ascii_lower(season).contains(tx.ascii_lower(F.lit(cycle)))
+    return active & (of_cycle | season.isin(*open_seasons))
 
 
 def candidates(

@@ -17,8 +17,9 @@ from listwright.functions import text as tx
 def score_view(scores: DataFrame, jobs: DataFrame, companies: DataFrame) -> DataFrame:
     """Scores with their listing and its company.
 
-    The provider is the company's. The joins carry no hint: listings and companies grow with the
-    data, so the planner decides from their size and splits hot companies when it shuffles.
+    The provider is the company's. Listings meet their companies first, so the scores move once, by
+    listing, and never by the skewed company. The joins carry no hint: both sides grow with the data,
+    so the planner decides from their size.
     """
     job_columns = jobs.select("job_id", "company_id", "title", "locations", "url")
     company_columns = companies.select(
@@ -29,7 +30,11 @@ def score_view(scores: DataFrame, jobs: DataFrame, companies: DataFrame) -> Data
         F.col("qualification_score").alias("q_score"), "fit_score", "summary", "tier",
         "created_at",
     )
-    return score_columns.join(job_columns, "job_id").join(company_columns, "company_id")
+    listed = job_columns.join(company_columns, "company_id")
+    columns = [c for c in job_columns.columns if c not in ("job_id", "company_id")]
+    return score_columns.join(listed, "job_id").select(
+        "company_id", "job_id", *score_columns.columns[1:], *columns, "company", "ats_provider"
+    )
 
 
 def review_columns(view: DataFrame) -> DataFrame:
@@ -194,15 +199,16 @@ def report_line(company: Column, title: Column, q: Column, fit: Column) -> Colum
 
     def cell(text: Column, size: tuple[int, int]) -> Column:
         kept, width = size
-        return F.rpad(F.left(text, F.lit(kept)), width, " ")
+        return F.rpad(F.left(F.coalesce(text, F.lit("")), F.lit(kept)), width, " ")
 
     def number(value: Column) -> Column:
         # lpad also cuts, so wider numbers are passed through.
-        shown = value.cast("string")
+        shown = F.coalesce(value.cast("string"), F.lit(""))
         return F.when(F.length(shown) >= REPORT_SCORE_WIDTH, shown).otherwise(
             F.lpad(shown, REPORT_SCORE_WIDTH, " ")
         )
 
-    return F.concat_ws(
-        " ", cell(company, REPORT_COMPANY), cell(title, REPORT_TITLE), number(q), number(fit)
+    gap = F.lit(" ")
+    return F.concat(
+        cell(company, REPORT_COMPANY), gap, cell(title, REPORT_TITLE), gap, number(q), gap, number(fit)
     )

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listwright import schemas
-from listwright.fixed_values import UNSPECIFIED
+from listwright.fixed_values import MANDATORY, OPTIONAL, UNSPECIFIED
 from listwright.functions import payload as js, text as tx
 
 SCORE_KEY = ("job_id", "profile_version", "resume_version")
@@ -22,11 +22,6 @@ ScorerFactory = Callable[[], Scorer]
 
 RESPONSE_SCHEMA = "job_id string, tier string, response string, error string"
 
-MANDATORY = (
-    "qualification_score", "fit_score", "class_year_eligible", "top_matches", "top_gaps",
-)
-OPTIONAL = ("fit_reasoning", "summary")
-
 
 @dataclass(frozen=True)
 class RequestTemplate:

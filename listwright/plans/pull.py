@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from listwright import schemas
 from listwright.operators import merge
 from listwright.operators.normalize import BAD, KEPT, enrich, normalize, verdict_counts
-from listwright.operators.sizing import spread_if_few
-from listwright.sources.feeds import Feed, feed_status, read_feeds
+from listwright.sources.feeds import Feed, failed_feed, feed_status, read_feed
 from listwright.sources.store import Commit, Part, Store
 
 
@@ -33,17 +32,28 @@ def stage(store: Store, raw: DataFrame, batch_id: int) -> Part:
     return store.write_part("staging", enrich(normalize(raw, batch_id)), ("verdict",))
 
 
-def _staged(store: Store, part: Part, verdict: str) -> DataFrame:
-    return store.read_part(part, schemas.STAGED).filter(F.col("verdict") == verdict)
+def stage_feeds(store: Store, registry: Sequence[Feed], batch_id: int) -> list[Part]:
+    """Each feed staged by itself: one that cannot be read to its end leaves a failure marker."""
+    parts = []
+    for ordinal, feed in enumerate(registry):
+        try:
+            parts.append(stage(store, read_feed(store.spark, feed, ordinal), batch_id))
+        except Exception:  # whatever reading raises must not stop the other feeds
+            parts.append(stage(store, failed_feed(store.spark, feed, ordinal), batch_id))
+    return parts
+
+
+def _staged(store: Store, parts: Sequence[Part], verdict: str) -> DataFrame:
+    return store.read_parts(parts, schemas.STAGED).filter(F.col("verdict") == verdict)
 
 
 def merge_staged(
-    store: Store, part: Part, base: Commit, run_at: datetime, stream: str | None = None,
+    store: Store, parts: Sequence[Part], base: Commit, run_at: datetime, stream: str | None = None,
     stream_batch: int | None = None,
 ) -> PullReport:
     """Fold the staged listings into both tables and publish them together."""
     now = F.lit(run_at).cast("timestamp")
-    kept = _staged(store, part, KEPT)
+    kept = _staged(store, parts, KEPT)
     jobs, companies = merge.job_sightings(kept, now), merge.company_sightings(kept, now)
     stats = merge.merge_stats(
         store.read_unfolded("jobs", base), kept, ("source", "source_id")
@@ -51,7 +61,7 @@ def merge_staged(
     changes = {
         "companies": store.write_fold("companies", companies, base),
         "jobs": store.write_fold("jobs", jobs, base),
-        "staging": [part],
+        "staging": list(parts),
     }
     published = store.commit(base, changes, stream, stream_batch)
     return PullReport(published.version, stats.total_seen, stats.inserted, stats.updated)
@@ -62,14 +72,12 @@ def pull(
 ) -> PullReport:
     """One pull of all feeds. Nothing is visible to readers until the final commit."""
     base = store.initialize()
-    raw = spread_if_few(read_feeds(store.spark, registry))
-    part = stage(store, raw, base.version + 1)
-    return merge_staged(store, part, base, run_at or datetime.now(timezone.utc))
+    parts = stage_feeds(store, registry, base.version + 1)
+    return merge_staged(store, parts, base, run_at or datetime.now(timezone.utc))
 
 
 def _last_staging(store: Store) -> DataFrame:
-    part, = store.current().parts("staging")
-    return store.read_part(part, schemas.STAGED)
+    return store.read_parts(store.current().parts("staging"), schemas.STAGED)
 
 
 def source_counts(store: Store) -> DataFrame:

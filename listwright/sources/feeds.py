@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from listwright import schemas
 from listwright.functions.payload import evaluated_once
@@ -42,29 +42,52 @@ def _array_documents(documents: DataFrame) -> DataFrame:
         wrapped, "listings array<string>, end boolean, broken string",
         {"columnNameOfCorruptRecord": "broken"},
     )
+    # A text among the elements loses its quotes above and would pass for the object it may hold.
+    typed = F.from_json(wrapped, "listings array<variant>")["listings"]
     split = documents.select(
-        "source", "source_ord", "file", evaluated_once(parsed).alias("parsed")
+        "source", "source_ord", "file",
+        evaluated_once(F.struct(parsed.alias("texts"), typed.alias("typed"))).alias("parsed"),
     )
-    whole = F.col("parsed.broken").isNull() & F.coalesce("parsed.end", F.lit(False))
-    listings = F.when(whole, F.col("parsed.listings"))
-    return split.select(
+    texts = F.col("parsed.texts")
+    whole = texts["broken"].isNull() & F.coalesce(texts["end"], F.lit(False))
+    listings = F.when(whole, F.arrays_zip(
+        texts["listings"].alias("text"), F.col("parsed.typed").alias("typed")
+    ))
+    exploded = split.select(
         "source", "source_ord", "file",
         F.when(listings.isNull(), FEED_FAILED).otherwise(FEED_OK).alias("feed_status"),
-        F.posexplode_outer(listings).alias("pos", "payload"),
+        F.posexplode_outer(listings).alias("pos", "element"),
+    )
+    text = F.col("element.text")
+    quoted = F.schema_of_variant(F.col("element.typed")) == "STRING"
+    return exploded.select(
+        "source", "source_ord", "file", "feed_status", "pos",
+        F.when(quoted, _as_json_text(text)).otherwise(text).alias("payload"),
     )
 
 
+def _as_json_text(text: Column) -> Column:
+    """A text as JSON, so that it is read as a text and not as what it may hold."""
+    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+
+
 def _line_records(lines: DataFrame) -> DataFrame:
-    """(source, source_ord, file, document) -> raw listings; a broken line stays as a bad row."""
+    """(source, source_ord, file, document) -> raw listings.
+
+    A line that lacks its position or its listing stays as a bad row, with its text as a JSON text.
+    """
     envelope = F.from_json("document", "pos bigint, listing string")
-    return lines.select(
+    rows = lines.select(
         "source", "source_ord", "file",
         F.lit(FEED_OK).alias("feed_status"),
         envelope.alias("envelope"), "document",
-    ).select(
+    )
+    landed = F.col("envelope.pos").isNotNull() & F.col("envelope.listing").isNotNull()
+    return rows.select(
         "source", "source_ord", "file", "feed_status",
-        F.coalesce(F.col("envelope.pos"), F.lit(-1)).alias("pos"),
-        F.coalesce(F.col("envelope.listing"), F.col("document")).alias("payload"),
+        F.when(landed, F.col("envelope.pos")).otherwise(F.lit(-1)).alias("pos"),
+        F.when(landed, F.col("envelope.listing"))
+        .otherwise(_as_json_text(F.col("document"))).alias("payload"),
     )
 
 
@@ -90,11 +113,15 @@ def read_feed(spark: SparkSession, feed: Feed, ordinal: int) -> DataFrame:
     try:
         documents = spark.read.text(feed.path, wholetext=feed.layout == "array")
     except AnalysisException:
-        marker = [(feed.name, ordinal, feed.path, None, FEED_FAILED, None)]
-        return spark.createDataFrame(marker, schemas.RAW_LISTING)
+        return failed_feed(spark, feed, ordinal)
     return as_raw(tag(documents, feed, ordinal), feed.layout)
 
 
+def failed_feed(spark: SparkSession, feed: Feed, ordinal: int) -> DataFrame:
+    marker = [(feed.name, ordinal, feed.path, None, FEED_FAILED, None)]
+    return spark.createDataFrame(marker, schemas.RAW_LISTING)
+
+
 def read_feeds(spark: SparkSession, registry: Sequence[Feed]) -> DataFrame:
     """Every feed of the registry, in registry order; a failed feed does not stop the others."""
     parts = [read_feed(spark, feed, ordinal) for ordinal, feed in enumerate(registry)]

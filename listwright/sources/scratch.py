@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,9 +10,12 @@ from pyspark.sql import SparkSession
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder the session names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a local temporary folder is used.
+    Where that is unset, a session on one machine takes a path beside its warehouse; a cluster has
+    no folder that all executors see, so there it is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
+    if not shared:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-scratch"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

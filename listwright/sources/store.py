@@ -1,12 +1,11 @@
 """Versioned Parquet tables with atomic commits.
 
 Every write goes to a directory of its own; nothing that may be read is overwritten. A commit is one
-small Parquet file appended to the commit log: it names, for each table, the directories that make
+small directory of the commit log, made for its version: it names, for each table, the directories that make
 up its content. Readers take the newest commit, so a run that dies half way leaves nothing visible.
 
 Merged tables are kept as a base plus the folds of later batches. A batch therefore writes only its
-own keys, not the whole table. Readers fold the directories together; while the later batches are
-few rows, only the keys they touch are folded and the rest of the base is not moved. Once there are
+own keys, not the whole table. Readers fold the directories together. Once there are
 `max_parts` directories the next commit writes them as one.
 """
 
@@ -16,14 +15,16 @@ import json
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from listwright import schemas
 from listwright.operators import merge
 
-COMMIT_SCHEMA = "version bigint, content string, stream string, stream_batch bigint"
+COMMIT_SCHEMA = "version bigint, token string, content string, stream string, stream_batch bigint"
 
 # fold(rows, columns): rows of one key in several directories become one row.
 Fold = Callable[..., DataFrame]
@@ -44,11 +45,6 @@ MERGED = {
     "companies": Merged("company_id", merge.fold_companies),
 }
 
-# Later batches with at most this many rows have their keys broadcast. The keys of the stored tables
-# are 32 characters, so this bounds the broadcast to some tens of megabytes.
-BROADCAST_KEYS = 500_000
-
-
 class Part(NamedTuple):
     """A written directory and its number of rows."""
 
@@ -66,7 +62,7 @@ class Commit:
 
 
 class ConcurrentCommitError(RuntimeError):
-    """Two writers committed the same version."""
+    """Another writer has committed the version."""
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -78,14 +74,12 @@ class Store:
     def __init__(
         self, spark: SparkSession, root: str, tables: dict[str, T.StructType] | None = None,
         merged: dict[str, Merged] | None = None, max_parts: int = 8,
-        broadcast_keys: int = BROADCAST_KEYS,
     ):
         self.spark = spark
         self.root = root.rstrip("/")
         self.tables = dict(schemas.TABLES if tables is None else tables)
         self.merged = dict(MERGED if merged is None else merged)
         self.max_parts = max_parts
-        self.broadcast_keys = broadcast_keys
 
     # --- commit log ------------------------------------------------------------------------------
 
@@ -93,31 +87,39 @@ class Store:
         path = f"{self.root}/commits"
         if not path_exists(self.spark, path):
             return None
-        return self.spark.read.schema(COMMIT_SCHEMA).parquet(path)
+        return self.spark.read.schema(COMMIT_SCHEMA).option("recursiveFileLookup", True).parquet(path)
 
     def current(self) -> Commit:
         """The newest commit; an empty one when nothing was ever committed."""
         log = self._log()
         if log is None:
             return Commit()
-        newest = log.orderBy(F.desc("version")).limit(2).collect()
+        newest = log.orderBy(F.desc("version"), "token").limit(1).collect()
         if not newest:
             return Commit()
-        if len(newest) == 2 and newest[0].version == newest[1].version:
-            raise ConcurrentCommitError(f"version {newest[0].version} was committed twice")
         return Commit(newest[0].version, json.loads(newest[0].content))
 
     def commit(
         self, base: Commit, changes: dict[str, list[Part]], stream: str | None = None,
         stream_batch: int | None = None,
     ) -> Commit:
-        """Publish new directory lists for some tables on top of `base`."""
+        """Publish new directory lists for some tables on top of `base`.
+
+        Raises `ConcurrentCommitError` if another writer has published that version. Two that
+        wrote it in the same moment both leave a row: the smaller token counts, for the writers as
+        for all readers.
+        """
         following = Commit(base.version + 1, {**base.content, **changes})
-        row = [(following.version, json.dumps(following.content), stream, stream_batch)]
-        (
-            self.spark.createDataFrame(row, COMMIT_SCHEMA).coalesce(1)
-            .write.mode("append").parquet(f"{self.root}/commits")
-        )
+        token = uuid.uuid4().hex
+        row = [(following.version, token, json.dumps(following.content), stream, stream_batch)]
+        path = f"{self.root}/commits/{following.version:012d}"
+        try:
+            self.spark.createDataFrame(row, COMMIT_SCHEMA).coalesce(1).write.mode("error").parquet(path)
+        except AnalysisException as taken:
+            raise ConcurrentCommitError(f"version {following.version} is committed") from taken
+        first = self.spark.read.schema(COMMIT_SCHEMA).parquet(path).agg(F.min("token")).first()[0]
+        if first != token:
+            raise ConcurrentCommitError(f"version {following.version} is committed")
         return following
 
     def last_stream_batch(self, stream: str) -> int:
@@ -148,17 +150,9 @@ class Store:
         parts = (commit or self.current()).parts(table)
         wanted = list(columns or self.tables[table].fieldNames())
         how = self.merged.get(table)
-        if how is None or len(parts) < 2:
+        if how is None or len(parts) < 2:  # one directory is a fold already
             return self._load(table, parts).select(*wanted)
-        if sum(part.rows for part in parts[1:]) > self.broadcast_keys:
-            return how.fold(self._load(table, parts), columns).select(*wanted)
-        base, later = self._load(table, parts[:1]), self._load(table, parts[1:])
-        touched = F.broadcast(later.select(how.key).distinct())
-        changed = base.join(touched, how.key, "left_semi").select(*base.columns)
-        unchanged = base.join(touched, how.key, "left_anti")
-        return unchanged.select(*wanted).unionByName(
-            how.fold(changed.unionByName(later), columns).select(*wanted)
-        )
+        return how.fold(self._load(table, parts), columns).select(*wanted)
 
     def read_unfolded(self, table: str, commit: Commit) -> DataFrame:
         """All rows of all parts: a key may occur once per part."""
@@ -168,6 +162,11 @@ class Store:
         """One directory, also when it holds no rows and so no files."""
         return self.spark.read.schema(schema).parquet(self.path(part))
 
+    def read_parts(self, parts: Sequence[Part], schema: T.StructType | str) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return reduce(DataFrame.unionByName, (self.read_part(part, schema) for part in parts))
+
     # --- writing ---------------------------------------------------------------------------------
 
     def path(self, part: Part) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -21,17 +22,25 @@ def stream_feed(store: Store, feed: Feed, ordinal: int = 0) -> DataFrame:
     return as_raw(tag(reader.load(feed.path), feed, ordinal), feed.layout)
 
 
+def checkpointed_name(store: Store, stream: str, checkpoint: str) -> str:
+    """The stream's name with the id its checkpoint has; a new checkpoint is a new stream."""
+    written = store.spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+    return f"{stream}@{json.loads(written)['id']}"
+
+
 def once_per_batch(
-    store: Store, stream: str, apply: Callable[[DataFrame, int], None]
+    store: Store, stream: str, checkpoint: str, apply: Callable[[DataFrame, int, str], None]
 ) -> Callable[[DataFrame, int], None]:
     """foreachBatch body that skips a micro-batch whose commit is already in the store.
 
-    The engine repeats a micro-batch when it stopped between the commit and the checkpoint.
+    The engine repeats a micro-batch when it stopped between the commit and the checkpoint. Numbers
+    count from 0 under each checkpoint, so they are compared within one checkpoint only.
     """
 
     def body(batch: DataFrame, batch_id: int) -> None:
-        if batch_id > store.last_stream_batch(stream):
-            apply(batch, batch_id)
+        name = checkpointed_name(store, stream, checkpoint)
+        if batch_id > store.last_stream_batch(name):
+            apply(batch, batch_id, name)
 
     return body
 
@@ -43,13 +52,13 @@ def stream_pull(
     """Merge every micro-batch of raw listings into the store, then stop."""
     store.initialize()
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
+    def apply(batch: DataFrame, batch_id: int, name: str) -> None:
         base = store.current()
         part = stage(store, batch, base.version + 1)
-        merge_staged(store, part, base, run_at(), stream, batch_id)
+        merge_staged(store, [part], base, run_at(), name, batch_id)
 
     return (
-        raw.writeStream.foreachBatch(once_per_batch(store, stream, apply))
+        raw.writeStream.foreachBatch(once_per_batch(store, stream, checkpoint, apply))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -62,12 +71,12 @@ def stream_fold(
     """Fold every micro-batch of rows in state shape into one table of the store, then stop."""
     store.initialize()
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
+    def apply(batch: DataFrame, batch_id: int, name: str) -> None:
         base = store.current()
-        store.commit(base, {table: store.write_fold(table, batch, base)}, stream, batch_id)
+        store.commit(base, {table: store.write_fold(table, batch, base)}, name, batch_id)
 
     return (
-        sightings.writeStream.foreachBatch(once_per_batch(store, stream, apply))
+        sightings.writeStream.foreachBatch(once_per_batch(store, stream, checkpoint, apply))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

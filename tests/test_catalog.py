@@ -5,6 +5,7 @@ import pytest
 from tests.compare import differences, duck
 
 import __spark_entry__ as contract
+from listwright.catalog import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -34,7 +35,7 @@ def plan_problems(frame, name):
     return found
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, connection, name):
     frame = contract.queries()[name](spark, SF)
     assert not plan_problems(frame, name)

@@ -67,6 +67,12 @@ CASES = [
     (None, "bad", {}),
     (5, "bad", {}),
     ("text", "bad", {}),
+    (json.dumps(entry()), "bad", {}),
+    (entry(season=["s"]), "bad", {}),
+    (entry(category={"a": 1}), "bad", {}),
+    (entry(sponsorship=["x"]), "bad", {}),
+    (entry(date_posted="abc"), "bad", {}),
+    (entry(date_updated=1.9), "bad", {}),
     (["list"], "bad", {}),
 ]
 
@@ -176,3 +182,14 @@ def test_parsing_happens_once_per_payload(judged):
     assert "Python" not in plan
     # from_json of the payload: once per feed in the union, never repeated in a filter.
     assert plan.count("from_json(StructField(id") <= 8
+
+
+def test_bare_lines_and_half_envelopes_are_bad(spark, tmp_path):
+    bare = [entry(id="7", title=f"t{i}") for i in range(3)]
+    rows = [*bare, {"pos": 3}, {"listing": entry()}, {"pos": 5, "listing": entry(id="8")}]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    raw = read_feeds(spark, [Feed("one", str(tmp_path / "a.jsonl"), layout="lines")])
+    found = nz.normalize(raw, 1).select("verdict", "source_id", "raw_payload").collect()
+    assert sorted(r.verdict for r in found) == ["bad"] * 5 + ["kept"]
+    texts = {json.loads(r.raw_payload) for r in found if r.verdict == "bad"}
+    assert texts == {json.dumps(row) for row in rows[:5]}

@@ -117,6 +117,10 @@ def test_phrase_coverage_folds_ascii_case_only(spark):
 
 
 def test_report_line(apply):
-    rows = [("A" * 30, "T" * 50, 5, 100), ("Acme", "Data", 1000, -10)]
-    expected = [f"{c[:24]:<25} {t[:44]:<45} {q:>3} {f:>3}" for c, t, q, f in rows]
+    rows = [("A" * 30, "T" * 50, 5, 100), ("Acme", "Data", 1000, -10), (None, "Data", 1, None)]
+    expected = [
+        "AAAAAAAAAAAAAAAAAAAAAAAA  TTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTT    5 100",
+        "Acme                      Data                                          1000 -10",
+        "                          Data                                            1    ",
+    ]
     assert apply(review.report_line, rows, "c string, t string, q int, f int") == expected

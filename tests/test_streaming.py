@@ -61,18 +61,35 @@ def test_repeated_micro_batch_is_skipped(spark, tmp_path):
     store.initialize()
     seen = []
 
-    def apply(frame, batch_id):
-        seen.append(batch_id)
-        store.commit(store.current(), {}, "feed", batch_id)
-
-    body = once_per_batch(store, "feed", apply)
+    def apply(frame, batch_id, name):
+        seen.append((name, batch_id))
+        store.commit(store.current(), {}, name, batch_id)
+
+    for checkpoint in ("a", "b"):
+        (tmp_path / checkpoint).mkdir()
+        (tmp_path / checkpoint / "metadata").write_text(json.dumps({"id": f"id-{checkpoint}"}))
+    body = once_per_batch(store, "feed", str(tmp_path / "a"), apply)
+    other = once_per_batch(store, "feed", str(tmp_path / "b"), apply)
     frame = spark.range(1)
     for batch_id in (0, 0, 1, 0, 1, 2):
         body(frame, batch_id)
-    assert seen == [0, 1, 2]
+    other(frame, 0)
+    assert seen == [("feed@id-a", 0), ("feed@id-a", 1), ("feed@id-a", 2), ("feed@id-b", 0)]
     assert store.last_stream_batch("other") == -1
 
 
+def test_a_new_checkpoint_loses_no_listing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    for number in (1, 2):
+        folder = tmp_path / f"in{number}"
+        folder.mkdir()
+        (folder / "a.json").write_text(json.dumps([entry(str(number), "Acme", "T")]))
+        raw = stream_feed(store, Feed("one", str(folder)))
+        checkpoint = str(tmp_path / f"checkpoint{number}")
+        assert stream_pull(store, raw, "one", checkpoint, lambda: DAY).awaitTermination(120)
+    assert sorted(r.source_id for r in store.read("jobs").collect()) == ["1", "2"]
+
+
 def listings_stream(spark, folder, rows):
     schema = "company_name string, title string, fingerprint string, posted_at bigint"
     folder.mkdir()
