@@ -115,7 +115,7 @@ def _pulled(spark: SparkSession, sf_dir: str) -> Store:
     store = Store(spark, scratch_dir(spark, "store"))
     base = store.initialize()
     part = pl.stage(store, ad.feed_payloads(spark, sf_dir), base.version + 1)
-    pl.merge_staged(store, part, base, RUN_AT)
+    pl.merge_staged(store, [part], base, RUN_AT)
     return store
 
 

@@ -11,7 +11,7 @@ from listwright.fixed_values import COMPANY_SUFFIXES
 from listwright.functions import payload as js, text as tx, urls
 from listwright.operators import checks, merge
 from listwright.operators import normalize as nz
-from listwright.sources.feeds import union_all
+from listwright.sources.feeds import as_raw, feed_status as status_of, union_all
 
 # --- scans ---------------------------------------------------------------------------------------
 
@@ -531,3 +531,42 @@ def stale_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     stale = checks.stale(seen, "event_type", "last_seen")
     return stale.withColumn("last_seen", F.col("last_seen").cast("string"))
+
+
+def _feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a feed file of three elements; every fifth is not an array."""
+    array = F.concat(
+        F.lit('[{"id":'), F.col("doc_id").cast("string"), F.lit('}, "{\\"id\\":1}", '),
+        F.col("n_chars").cast("string"), F.lit("]"),
+    )
+    return table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("source"), F.lit(0).alias("source_ord"),
+        F.col("doc_id").cast("string").alias("file"),
+        F.when(F.col("doc_id") % 5 == 0, F.lit('{"listings":[]}')).otherwise(array).alias("document"),
+    )
+
+
+_FILES_SQL = """
+SELECT lang AS source, doc_id::varchar AS file, pos, CASE pos WHEN 0 THEN '{"id":' || doc_id || '}'
+  WHEN 1 THEN '"{\\"id\\":1}"' ELSE n_chars::varchar END AS payload, 'ok' AS feed_status
+FROM documents, (VALUES (0), (1), (2)) AS p(pos) WHERE doc_id % 5 <> 0
+UNION ALL SELECT lang, doc_id::varchar, NULL, NULL, 'failed' FROM documents WHERE doc_id % 5 = 0
+"""
+
+
+@query("feed_array_split", _FILES_SQL)
+def feed_array_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed files split into their elements; a text stays a text, a broken file is marked."""
+    return as_raw(_feed_files(spark, sf_dir), "array").select(
+        "source", "file", "pos", "payload", "feed_status"
+    )
+
+
+@query("feed_status", f"""
+SELECT source, file, max(feed_status = 'failed')::int AS failed, count(pos) AS listings
+FROM ({_FILES_SQL}) GROUP BY source, file
+""")
+def feed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which feed files could be read, and how many elements they hold."""
+    files = status_of(as_raw(_feed_files(spark, sf_dir), "array"))
+    return files.select("source", "file", (F.col("status") == "failed").cast("int").alias("failed"), "listings")
