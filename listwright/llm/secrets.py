@@ -34,7 +34,9 @@ TREES, DEPTH = 20, 6
 #: A common word makes up this part of all words or more.
 COMMON = 2e-6
 
-VALUE = r"([A-Za-z0-9+/_-]{16,})[=]*[\"'`,.;:)\]}>]*$"
+#: What a value is not made of, and what may follow it.
+OUTSIDE = "[^A-Za-z0-9+/_-]"
+AFTER = "=\"'`,.;:)]}>"
 PROVIDERS = {
     "aws": r"^(AKIA|ASIA)[0-9A-Z]{16}$", "github": r"^gh[pousr]_[A-Za-z0-9]{36}$", "slack": r"^xox[abprs]-",
     "google": r"^AIza[0-9A-Za-z_-]{35}$", "stripe": r"^[sr]k_(live|test)_[0-9A-Za-z]{16,}$", "token": r"^eyJ[A-Za-z0-9_-]{10,}",
@@ -59,14 +61,17 @@ def candidates(docs: DataFrame) -> DataFrame:
         F.col("words").alias("w"), F.slice("words", 2, F.size("words")).alias("a1"),
     ).select("doc_id", "mark", "path", F.posexplode(F.arrays_zip("b2", "b1", "w", "a1")).alias("place", "near"))
     rows = rows.select("doc_id", "mark", "path", "place", "near.*").filter("length(w) >= 16 and w rlike '[0-9]'")
-    value = F.regexp_extract("w", VALUE, 1)
+    # Linear in the word, however long: no pattern is tried from every place.
+    value = F.element_at(F.split(F.rtrim("w", F.lit(AFTER)), OUTSIDE), -1)
     return rows.withColumn("value", value).filter("length(value) >= 16 and value rlike '[0-9]'")
 
 
 def common_trigrams(docs: DataFrame, common: float = COMMON) -> DataFrame:
-    """Letter trigrams of words that make up `common` of all words or more; at most 26**3 rows."""
+    """Letter trigrams of words that make up `common` of all words or more; at most 26**3 rows.
+
+    Runs of more than 40 letters are no words."""
     words = docs.select(F.explode(spaced_words(F.col("text"))).alias("word")).groupBy("word").count()
-    words = written(words.withColumn("word", F.lower("word")).filter("word rlike '^[a-z]{3,}$'"), "word-counts")
+    words = written(words.withColumn("word", F.lower("word")).filter("word rlike '^[a-z]{3,40}$'"), "word-counts")
     total = words.agg(F.sum("count")).first()[0] or 0
     frequent = words.groupBy("word").agg(F.sum("count").alias("count")).filter(F.col("count") >= common * total)
     return trigrams(frequent, "word").select("trigram").distinct()
@@ -74,9 +79,12 @@ def common_trigrams(docs: DataFrame, common: float = COMMON) -> DataFrame:
 
 def trigrams(rows: DataFrame, column: str) -> DataFrame:
     """A row for each run of three characters, lower-cased."""
-    letters = F.lower(F.col(column))
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(letters) - 2, F.lit(1))), lambda i: F.substr(letters, i, F.lit(3)))
-    return rows.withColumn("trigram", F.explode(each))
+    split = rows.withColumn("letters", F.split(F.lower(F.col(column)), ""))
+    each = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("letters") - 3, F.lit(0))),
+        lambda i: F.concat_ws("", F.get("letters", i), F.get("letters", i + 1), F.get("letters", i + 2)),
+    )
+    return split.withColumn("trigram", F.explode(each)).drop("letters")
 
 
 def described(found: DataFrame, dictionary: DataFrame) -> DataFrame:
