@@ -79,7 +79,8 @@ def _kept(text: Column, lines: Column) -> Column:
 def deduplicated(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     """Documents with their text less the covered lines, and `n_chars` to match."""
     mark, = fresh(docs, "mark")
-    gone = written(later_lines(docs, long_words), "later-lines").select(
+    # Shuffled at every size: the other side grows with the table.
+    gone = written(later_lines(docs, long_words), "later-lines").hint("merge").select(
         F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_mark"), F.col("lines").alias("_gone_lines")
     )
     left = docs.withColumn(mark, F.xxhash64("text"))
@@ -98,7 +99,7 @@ def deduplicated(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
 def report(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed and the remaining text of every row."""
     rows = keyed(docs, "text")
-    gone = written(later_lines(docs, long_words), "later-lines")
+    gone = written(later_lines(docs, long_words), "later-lines").hint("merge")
     joined = rows.join(gone, same_row(rows, gone), "left")
     count = F.coalesce(F.size(F.split(rows["text"], "\n")), F.lit(0))
     return joined.select(
