@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from listwright.catalog import adapters as ad
 from listwright.catalog.adapters import FEED_SQL, sql_strip
 from listwright.catalog.registry import epoch_us, query, table
-from listwright.fixed_values import COMPANY_SUFFIXES
+from listwright.fixed_values import COMPANY_SUFFIXES, REQUIRED_FIELDS
 from listwright.functions import payload as js, text as tx, urls
 from listwright.operators import checks, merge
 from listwright.operators import normalize as nz
@@ -86,25 +86,25 @@ def first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- normalization -------------------------------------------------------------------------------
 
 
-def _feed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nz.parse(ad.feed_payloads(spark, sf_dir)).select("pos", "doc")
+def _feed_docs(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    return nz.parse(ad.feed_payloads(spark, sf_dir), fields).select("pos", "doc")
 
 
 @query("visible_filter", f"WITH {FEED_SQL} SELECT pos FROM feed WHERE visible")
 def visible_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _feed_docs(spark, sf_dir)
+    docs = _feed_docs(spark, sf_dir, "is_visible")
     return docs.filter(nz.is_visible(F.col("doc"))).select("pos")
 
 
 @query("required_fields", f"WITH {FEED_SQL} SELECT pos FROM feed WHERE complete")
 def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _feed_docs(spark, sf_dir)
+    docs = _feed_docs(spark, sf_dir, *REQUIRED_FIELDS)
     return docs.filter(nz.has_required(F.col("doc"))).select("pos")
 
 
 @query("season_coalesce", f"WITH {FEED_SQL} SELECT pos, season FROM feed")
 def season_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _feed_docs(spark, sf_dir)
+    docs = _feed_docs(spark, sf_dir, "season", "terms")
     return docs.select("pos", nz.season_of(F.col("doc")).alias("season"))
 
 
@@ -115,7 +115,7 @@ SELECT pos, array_to_string(locations, '|') AS locations,
 FROM feed
 """)
 def array_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _feed_docs(spark, sf_dir)
+    docs = _feed_docs(spark, sf_dir, "locations", "degrees")
     places = js.as_strings(F.col("doc.locations"))
     degrees = js.as_strings(F.col("doc.degrees"))
     return docs.select(
@@ -126,13 +126,13 @@ def array_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("active_flag", f"WITH {FEED_SQL} SELECT pos, active FROM feed")
 def active_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _feed_docs(spark, sf_dir)
+    docs = _feed_docs(spark, sf_dir, "active")
     return docs.select("pos", nz.is_active(F.col("doc")).alias("active"))
 
 
 @query("empty_to_null", f"WITH {FEED_SQL} SELECT pos, company_url FROM feed")
 def empty_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _feed_docs(spark, sf_dir)
+    docs = _feed_docs(spark, sf_dir, "company_url")
     given = js.as_text(F.col("doc.company_url"))
     return docs.select("pos", tx.or_null(given).alias("company_url"))
 

@@ -14,13 +14,17 @@ _TOP_COLUMNS = "company, title, locations, q_score, fit_score, summary, url, res
 _TOP = _TOP_COLUMNS.split(", ")
 
 
-def view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.score_view(
+def _star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
         ad.scores_of_lineitem(spark, sf_dir), ad.jobs_of_orders(spark, sf_dir),
         ad.companies_of_customers(spark, sf_dir),
     )
 
 
+def view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.score_view(*_star(spark, sf_dir))
+
+
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.review_columns(view(spark, sf_dir))
 
@@ -48,7 +52,8 @@ WITH {REVIEW_SQL}
 SELECT {_TOP_COLUMNS} FROM review WHERE q_score >= 40 ORDER BY {_TOTAL_ORDER} LIMIT 30
 """)
 def top_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.top_targets(frame(spark, sf_dir)).select(*_TOP)
+    star = _star(spark, sf_dir)
+    return review.described(review.top_targets(review.rankable(*star)), *star).select(*_TOP)
 
 
 @query("best_per_group", f"""
@@ -112,7 +117,7 @@ once AS (SELECT DISTINCT ON (company, title) ats FROM review
 SELECT ats, count(*) AS jobs FROM once GROUP BY ats
 """)
 def provider_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.provider_counts(frame(spark, sf_dir))
+    return review.provider_counts(review.scored_listings(*_star(spark, sf_dir)), ("job_id",))
 
 
 @query("top20_combined", f"""
@@ -121,7 +126,8 @@ SELECT company, title, q_score, fit_score, resume_version FROM review
 ORDER BY {_TOTAL_ORDER} LIMIT 20
 """)
 def top20_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.top_combined(frame(spark, sf_dir)).select(
+    star = _star(spark, sf_dir)
+    return review.described(review.top_combined(review.rankable(*star)), *star).select(
         "company", "title", "q_score", "fit_score", "resume_version"
     )
 
@@ -135,10 +141,9 @@ WHERE profile_version = (SELECT profile_version FROM scores
 ORDER BY {_TOTAL_ORDER} LIMIT 50
 """)
 def winners_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = review.latest_version(
-        ad.scores_of_lineitem(spark, sf_dir), F.struct("created_at", "job_id", "resume_version")
-    )
-    return review.winners(frame(spark, sf_dir), latest).select(
+    star = _star(spark, sf_dir)
+    latest = review.latest_version(star[0], F.struct("created_at", "job_id", "resume_version"))
+    return review.described(review.winners(review.rankable(*star), latest), *star).select(
         "company", "title", "profile_version", "q_score", "fit_score", "resume_version"
     )
 
@@ -165,6 +170,7 @@ def report_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = review.report_line(
         F.col("company"), F.col("title"), F.col("q_score"), F.col("fit_score")
     )
-    return review.top_combined(frame(spark, sf_dir)).select(
+    star = _star(spark, sf_dir)
+    return review.described(review.top_combined(review.rankable(*star)), *star).select(
         "job_id", "resume_version", line.alias("line")
     )

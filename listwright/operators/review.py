@@ -56,6 +56,47 @@ def review_columns(view: DataFrame) -> DataFrame:
 SCORE_KEY_COLUMNS = ("job_id", "profile_version", "resume_version")
 
 
+def rankable(scores: DataFrame, jobs: DataFrame, companies: DataFrame) -> DataFrame:
+    """Scores whose listing and company exist, with what ranking needs and nothing wide."""
+    named = jobs.select("job_id", "company_id").join(
+        companies.select("company_id"), "company_id", "left_semi"
+    )
+    q_score = F.col("qualification_score")
+    return scores.join(named.select("job_id"), "job_id", "left_semi").select(
+        *SCORE_KEY_COLUMNS, q_score.alias("q_score"), "fit_score",
+        (q_score + F.col("fit_score")).alias("combined"),
+    )
+
+
+def described(
+    chosen: DataFrame, scores: DataFrame, jobs: DataFrame, companies: DataFrame
+) -> DataFrame:
+    """Review columns of the rows of a top list over `rankable`, best first.
+
+    Titles, places, links and summaries are fetched for the list alone. What is broadcast has at
+    most as many rows as the list.
+    """
+    key = list(SCORE_KEY_COLUMNS)
+    wanted = chosen.select(*key)
+    rows = scores.join(F.broadcast(wanted), key, "left_semi")
+    listed = jobs.join(F.broadcast(wanted.select("job_id")), "job_id", "left_semi")
+    return review_columns(score_view(rows, F.broadcast(listed), companies)).orderBy(*best_first())
+
+
+def scored_listings(scores: DataFrame, jobs: DataFrame, companies: DataFrame) -> DataFrame:
+    """job_id, company, title and provider of each listing that has a score.
+
+    Of a listing's scores only its id moves, once per task and listing.
+    """
+    scored = scores.select("job_id").distinct()
+    listed = jobs.select("job_id", "company_id", "title").join(scored, "job_id", "left_semi")
+    named = companies.select(
+        "company_id", F.col("name").alias("company"),
+        tx.or_default(F.col("ats_provider"), UNKNOWN_PROVIDER).alias("ats"),
+    )
+    return listed.join(named, "company_id").select("job_id", "company", "title", "ats")
+
+
 def best_first(key: Sequence[str] = SCORE_KEY_COLUMNS, by: str = "combined") -> list[Column]:
     """Highest first; equal scores are ordered by the score's key, so the order is total."""
     return [F.desc(by), *(F.asc(k) for k in key)]

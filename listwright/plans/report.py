@@ -20,15 +20,18 @@ def review_frame(
     profile version stored last are wanted.
     """
     now = commit or store.current()
-    scores = store.read("match_scores", now)
+    scores, *listings = _star(store, now)
     if latest_only:
         scores = scores.filter(F.col("profile_version") == latest_profile(store, now).scalar())
-    view = review.score_view(
-        scores,
+    return review.review_columns(review.score_view(scores, *listings))
+
+
+def _star(store: Store, now: Commit) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
+        store.read("match_scores", now),
         store.read("jobs", now, ("job_id", "company_id", "title", "locations", "url")),
         store.read("companies", now, ("company_id", "name", "ats_provider")),
     )
-    return review.review_columns(view)
 
 
 def latest_profile(store: Store, commit: Commit | None = None) -> DataFrame:
@@ -38,7 +41,10 @@ def latest_profile(store: Store, commit: Commit | None = None) -> DataFrame:
 
 def winners(store: Store, commit: Commit | None = None) -> DataFrame:
     now = commit or store.current()
-    return review.winners(review_frame(store, now), latest_profile(store, now))
+    star = _star(store, now)
+    return review.described(
+        review.winners(review.rankable(*star), latest_profile(store, now)), *star
+    )
 
 
 def report_lines(rows: DataFrame) -> DataFrame:

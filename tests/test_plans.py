@@ -3,6 +3,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from listwright.catalog import reports
+from listwright.operators import review
 from listwright.session import shuffle_conf
 from listwright.sources.scratch import scratch_dir
 from listwright.sources.store import Store
@@ -19,6 +21,23 @@ def test_scans_are_pruned_and_filters_pushed(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int>" in narrow
 
 
+def test_ranking_moves_nothing_wide(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical(review.top_combined(review.rankable(*reports._star(spark, SF))))
+        counted = physical(contract.queries()["provider_counts"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "TakeOrderedAndProject" in plan and "LeftSemi" in plan
+    assert "o_orderpriority" not in plan and "c_name" not in plan
+    assert "ReadSchema: struct<l_orderkey:bigint>" in counted
+
+
+def test_one_flag_is_parsed_alone(spark):
+    plan = physical(contract.queries()["visible_filter"](spark, SF))
+    assert "is_visible" in plan and "company_url,VariantType" not in plan
+
+
 def test_scores_are_read_by_version(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     base = store.initialize()

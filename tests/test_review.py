@@ -7,7 +7,7 @@ KEY = ("job_id", "profile_version", "resume_version")
 
 
 @pytest.fixture(scope="module")
-def frame(spark):
+def star(spark):
     jobs = spark.createDataFrame(
         [("j1", "c1", "Data", ["NYC", "SF"], "u1"), ("j2", "c1", "Ops", [], "u2"),
          ("j3", "c2", "Data", None, "u3"), ("j4", "c9", "Lost", [], "u4")],
@@ -28,7 +28,12 @@ def frame(spark):
         "job_id string, profile_version string, resume_version string, qualification_score int, "
         "fit_score int, summary string, tier string, created_at long",
     )
-    return scores, review.review_columns(review.score_view(scores, jobs, companies)), jobs
+    return scores, jobs, companies
+
+
+@pytest.fixture(scope="module")
+def frame(star):
+    return star[0], review.review_columns(review.score_view(*star)), star[1]
 
 
 def test_view_is_an_inner_join_with_defaults(frame):
@@ -48,6 +53,23 @@ def test_top_lists(frame):
     assert [r.combined for r in review.top_combined(rows, 2).collect()] == [199, 100]
 
 
+def test_top_lists_are_the_same_when_ranked_before_wide_columns(star, frame):
+    _, rows, _ = frame
+    thin = review.rankable(*star)
+    assert thin.count() == 6 and "j9" not in {r.job_id for r in thin.collect()}
+    for top in (review.top_targets, review.top_combined):
+        assert review.described(top(thin), *star).collect() == top(rows).collect()
+    assert review.described(review.top_combined(thin, 1), *star).first().title == "Data"
+    assert review.described(review.top_combined(thin, 0), *star).count() == 0
+
+
+def test_providers_of_scored_listings(star, frame):
+    listings = review.scored_listings(*star)
+    assert sorted(r.job_id for r in listings.collect()) == ["j1", "j2", "j3"]
+    _, rows, _ = frame
+    assert review.provider_counts(listings, ("job_id",)).collect() == review.provider_counts(rows).collect()
+
+
 def test_best_per_company_breaks_ties_by_key(frame):
     _, rows, _ = frame
     best = [(r.company, r.job_id, r.profile_version) for r in review.best_per_company(rows).collect()]
