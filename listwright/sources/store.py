@@ -5,8 +5,9 @@ small directory of the commit log, made for its version: it names, for each tabl
 up its content. Readers take the newest commit, so a run that dies half way leaves nothing visible.
 
 Merged tables are kept as a base plus the folds of later batches. A batch therefore writes only its
-own keys, not the whole table. Readers fold the directories together. Once there are
-`max_parts` directories the next commit writes them as one.
+own keys, not the whole table. Readers fold the directories together. A commit writes its batch and
+the directories that are not clearly larger as one, so their number and how often a row is written
+again grow with the logarithm of the table.
 """
 
 from __future__ import annotations
@@ -73,13 +74,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 class Store:
     def __init__(
         self, spark: SparkSession, root: str, tables: dict[str, T.StructType] | None = None,
-        merged: dict[str, Merged] | None = None, max_parts: int = 8,
+        merged: dict[str, Merged] | None = None, merge_factor: int = 2,
     ):
         self.spark = spark
         self.root = root.rstrip("/")
         self.tables = dict(schemas.TABLES if tables is None else tables)
         self.merged = dict(MERGED if merged is None else merged)
-        self.max_parts = max_parts
+        self.merge_factor = merge_factor
 
     # --- commit log ------------------------------------------------------------------------------
 
@@ -183,12 +184,20 @@ class Store:
         return Part(path, counted.get["rows"])
 
     def write_fold(self, table: str, batch: DataFrame, base: Commit) -> list[Part]:
-        """Write the fold of a batch; returns the directories the table then has."""
-        fold, parts = self.merged[table].fold, base.parts(table)
-        if len(parts) + 1 < self.max_parts:
-            return [*parts, self.write_part(table, fold(batch))]
-        everything = self._load(table, parts).unionByName(batch)
-        return [self.write_part(table, fold(everything))]
+        """Write the fold of a batch; returns the directories the table then has.
+
+        Directories with fewer than `merge_factor` times the rows of all later ones are merged with
+        these, so each that stays is that much larger than the next.
+        """
+        fold, older = self.merged[table].fold, list(base.parts(table))
+        newer = [self.write_part(table, fold(batch))]
+        if older and not newer[0].rows:
+            return older
+        while older and older[-1].rows < self.merge_factor * sum(part.rows for part in newer):
+            newer.insert(0, older.pop())
+        if len(newer) > 1:
+            newer = [self.write_part(table, fold(self._load(table, newer)))]
+        return [*older, *newer]
 
     def initialize(self) -> Commit:
         """Commit the empty store if there is none yet; otherwise change nothing."""

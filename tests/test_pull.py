@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from listwright.plans import pull as pl, report
 from listwright.sources.feeds import Feed
-from listwright.sources.store import ConcurrentCommitError, Part, Store
+from listwright.sources.store import ConcurrentCommitError, Merged, Part, Store
 
 DAY1, DAY2, DAY3 = (datetime(2024, 5, d, 8, 0, 0) for d in (1, 2, 3))
 
@@ -106,14 +106,14 @@ def test_same_pull_twice_only_refreshes_last_seen(world):
 
 def test_parts_are_merged_without_changing_the_content(world, spark):
     root, feeds, _ = world
-    long = Store(spark, str(root / "a"), max_parts=9)
-    short = Store(spark, str(root / "b"), max_parts=2)
+    long = Store(spark, str(root / "a"), merge_factor=0)
+    short = Store(spark, str(root / "b"), merge_factor=100)
     for day, title in ((DAY1, "A"), (DAY2, "B"), (DAY3, "C")):
         write(root / "one.json", [entry("1", "Acme", title), entry(title, "Co " + title, title)])
         for store in (long, short):
             pl.pull(store, feeds, day)
     assert len(long.current().parts("jobs")) == 3
-    assert len(short.current().parts("jobs")) < 3
+    assert len(short.current().parts("jobs")) == 1
     # Folding on read and a table merged on write agree.
     assert jobs(long) == jobs(short)
     assert companies(long) == companies(short)
@@ -122,6 +122,19 @@ def test_parts_are_merged_without_changing_the_content(world, spark):
     assert "raw_payload" not in narrow._jdf.queryExecution().executedPlan().toString()
 
 
+def test_only_directories_that_are_not_clearly_larger_are_merged(spark, tmp_path):
+    store = Store(
+        spark, str(tmp_path / "s"), {"t": spark.range(0).schema},
+        {"t": Merged("id", lambda rows, columns=None: rows.distinct())},
+    )
+    now, sizes = store.initialize(), []
+    for start, end in ((0, 100), (100, 110), (110, 112), (112, 115), (0, 0), (115, 300)):
+        now = store.commit(now, {"t": store.write_fold("t", spark.range(start, end), now)})
+        sizes.append([part.rows for part in now.parts("t")])
+        assert sorted(r.id for r in store.read("t").collect()) == list(range(sum(sizes[-1])))
+    assert sizes == [[100], [100, 10], [100, 10, 2], [100, 10, 5], [100, 10, 5], [300]]
+
+
 def test_bad_objects_are_set_aside(world):
     root, feeds, store = world
     write(root / "one.json", [entry("1", "Acme", 7), entry("2", "Acme", "ok"), None])

@@ -37,7 +37,7 @@ def content(store, table, drop=("first_seq", "last_seq", "provider_seq")):
 def test_stream_gives_the_same_tables_as_one_batch(spark, tmp_path):
     feed_files(tmp_path / "in")
     feed = Feed("one", str(tmp_path / "in"))
-    streamed = Store(spark, str(tmp_path / "streamed"), max_parts=2)
+    streamed = Store(spark, str(tmp_path / "streamed"), merge_factor=100)
     raw = stream_feed(streamed, feed)
     checkpoint = str(tmp_path / "checkpoint")
     query = stream_pull(streamed, raw, "one", checkpoint, lambda: DAY)
