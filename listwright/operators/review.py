@@ -77,10 +77,12 @@ def described(
     most as many rows as the list.
     """
     key = list(SCORE_KEY_COLUMNS)
-    wanted = chosen.select(*key)
-    rows = scores.join(F.broadcast(wanted), key, "left_semi")
-    listed = jobs.join(F.broadcast(wanted.select("job_id")), "job_id", "left_semi")
-    return review_columns(score_view(rows, F.broadcast(listed), companies)).orderBy(*best_first())
+    rows = scores.join(F.broadcast(chosen.select(*key)), key, "left_semi")
+    listed = F.broadcast(rows.withColumnRenamed("qualification_score", "q_score")).join(
+        jobs.select("job_id", "company_id", "title", "locations", "url"), "job_id"
+    )
+    named = companies.select("company_id", F.col("name").alias("company"), "ats_provider")
+    return review_columns(F.broadcast(listed).join(named, "company_id")).orderBy(*best_first())
 
 
 def scored_listings(scores: DataFrame, jobs: DataFrame, companies: DataFrame) -> DataFrame:
