@@ -1,8 +1,9 @@
 """Secret scans: candidates by form, a random forest that removes false positives.
 
-A candidate is a word, or what follows the last `=` or `:` of one, without quotes and punctuation
-at its ends, that has 16 or more characters of `[A-Za-z0-9+/_-]`, a digit among them; it carries two
-words before it and one after. The forest's features are its length; transitions between
+A candidate is a run of 16 or more characters of `[A-Za-z0-9+/_-]` in a word, a digit among them;
+every such run is one, so a word can hold several. It carries what the two words before its own
+say, the run before it in its word, with the signs between, and what follows. The forest's features
+are its length; transitions between
 characters: changes of kind, kinds there are, and the share of digits and vowels; the part of its
 trigrams that common words of the corpus have (dictionary coverage); whether its path, the
 `source`, says test, example or documentation; and what the words beside it say.
@@ -15,7 +16,7 @@ Labelled findings of one's own can be given instead.
 
 Defined cases: null and empty texts have no candidates; equal findings of repeated rows repeat;
 null paths are no sign; with labels of one kind only, every candidate is kept. A finding gives its
-place and digest, not the secret.
+place, the number of its run in the word (`piece`) and digest, not the secret.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ TREES, DEPTH = 20, 6
 #: A common word makes up this part of all words or more.
 COMMON = 2e-6
 
-#: What a value is not made of, and what may follow it.
-OUTSIDE = "[^A-Za-z0-9+/_-]"
-AFTER = "=\"'`,.;:)]}>"
+#: What a value is made of, what it is not, and a run of the one with the other after it.
+INSIDE, OUTSIDE = "[A-Za-z0-9+/_-]", "[^A-Za-z0-9+/_-]"
+RUN = f"{INSIDE}+{OUTSIDE}*"
 PROVIDERS = {
     "aws": r"^(AKIA|ASIA)[0-9A-Z]{16}$", "github": r"^gh[pousr]_[A-Za-z0-9]{36}$", "slack": r"^xox[abprs]-",
     "google": r"^AIza[0-9A-Za-z_-]{35}$", "stripe": r"^[sr]k_(live|test)_[0-9A-Za-z]{16,}$", "token": r"^eyJ[A-Za-z0-9_-]{10,}",
@@ -51,7 +52,8 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, path, place of the word, the words around it and the value."""
+    """doc_id, mark, path, place of the word, what the words before say, number of the run in the
+    word, the runs beside it and the value."""
     has_path = "source" in docs.columns
     path = F.col("source").cast("string") if has_path else F.lit(None).cast("string")
     words = keyed(docs, path.alias("path"), spaced_words(F.col("text")).alias("words")).filter("size(words) > 0")
@@ -61,9 +63,19 @@ def candidates(docs: DataFrame) -> DataFrame:
         F.col("words").alias("w"), F.slice("words", 2, F.size("words")).alias("a1"),
     ).select("doc_id", "mark", "path", F.posexplode(F.arrays_zip("b2", "b1", "w", "a1")).alias("place", "near"))
     rows = rows.select("doc_id", "mark", "path", "place", "near.*").filter("length(w) >= 16 and w rlike '[0-9]'")
-    # Linear in the word, however long: no pattern is tried from every place.
-    value = F.element_at(F.split(F.rtrim("w", F.lit(AFTER)), OUTSIDE), -1)
-    return rows.withColumn("value", value).filter("length(value) >= 16 and value rlike '[0-9]'")
+    # Linear in the word, however long: no character is tried twice, and no run carries its word.
+    said = F.concat_ws(" ", "b2", "b1", F.regexp_extract("w", f"^{OUTSIDE}*", 0))
+    rows = rows.select(
+        "doc_id", "mark", "path", "place", said.rlike(NAMED).alias("said_named"), said.rlike(ASSIGNED).alias("said_assigned"),
+        F.regexp_extract_all("w", F.lit(RUN), F.lit(0)).alias("run"), F.substring("a1", 1, 1).alias("next"),
+    )
+    rows = rows.withColumns({
+        "before": F.concat(blank, "run"), "after": F.concat(F.slice("run", 2, F.size("run")), F.array("next")),
+    })
+    about = ["doc_id", "mark", "path", "place", "said_named", "said_assigned"]
+    rows = rows.select(*about, F.posexplode(F.arrays_zip("before", "run", "after")).alias("piece", "near"))
+    rows = rows.select(*about, "piece", "near.before", "near.after", F.regexp_extract("near.run", f"^{INSIDE}+", 0).alias("value"))
+    return rows.filter("length(value) >= 16 and value rlike '[0-9]'")
 
 
 def common_trigrams(docs: DataFrame, common: float = COMMON) -> DataFrame:
@@ -100,7 +112,6 @@ def described(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     pairs = ["(?<=[a-z])[0-9]", "(?<=[0-9])[a-z]", "(?<=[A-Z])[0-9]", "(?<=[0-9])[A-Z]", "(?<=[a-z])[A-Z]"]
     n = F.length(v).cast("double")
     kinds = sum((v.rlike(p).cast("double") for p in ("[a-z]", "[A-Z]", "[0-9]", "[+/_-]")), F.lit(0.0))
-    near = F.concat_ws(" ", "b2", "b1", "w")
     rows = found.join(coverage, "value", "left")
     return rows.select(
         *found.columns, n.alias("length"), (reduce(lambda a, b: a + b, map(count, pairs)) / n).alias("changes"),
@@ -108,8 +119,9 @@ def described(found: DataFrame, dictionary: DataFrame) -> DataFrame:
         v.rlike("^[0-9a-fA-F]+$").cast("double").alias("hexadecimal"), (count("[A-Z]") / n).alias("upper"),
         F.coalesce("share", F.lit(0.0)).alias("coverage"),
         F.coalesce(F.col("path").rlike(PATH), F.lit(False)).cast("double").alias("in_path"),
-        near.rlike(NAMED).cast("double").alias("named"), near.rlike(ASSIGNED).cast("double").alias("assigned"),
-        F.coalesce(F.col("a1").rlike("^[0-9]"), F.lit(False)).cast("double").alias("after_digits"),
+        (F.col("said_named") | F.concat("before", "value").rlike(NAMED)).cast("double").alias("named"),
+        (F.col("said_assigned") | F.col("before").rlike(ASSIGNED)).cast("double").alias("assigned"),
+        F.coalesce(F.col("after").rlike("^[0-9]"), F.lit(False)).cast("double").alias("after_digits"),
     )
 
 
@@ -125,7 +137,7 @@ def label() -> Column:
 
 
 def scanned(docs: DataFrame, labelled: DataFrame | None = None, sample_findings: int = SAMPLE_FINDINGS) -> DataFrame:
-    """doc_id, place, detector, length, digest, probability and is_secret of every candidate.
+    """doc_id, place, piece, detector, length, digest, probability and is_secret of every candidate.
 
     `labelled` has the features and `label`; by default it is made from the forms.
     """
@@ -133,7 +145,7 @@ def scanned(docs: DataFrame, labelled: DataFrame | None = None, sample_findings:
     rows = written(described(found, common_trigrams(docs)), "described")
     if labelled is None:
         labelled = rows.withColumn("label", label()).filter("label is not null")
-        labelled = labelled.orderBy(F.xxhash64("value", "doc_id", "place"), "doc_id", "place").limit(sample_findings)
+        labelled = labelled.orderBy(F.xxhash64("value", "doc_id", "place"), "doc_id", "place", "piece").limit(sample_findings)
     labelled = written(labelled.select(*FEATURES, F.col("label").cast("double").alias("label")), "labelled")
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="features")
     if labelled.select("label").distinct().count() < 2:
@@ -144,7 +156,7 @@ def scanned(docs: DataFrame, labelled: DataFrame | None = None, sample_findings:
             "probability", vector_to_array("probability")[1]
         )
     return judged.select(
-        "doc_id", "place", provider().alias("detector"), F.length("value").alias("length"),
+        "doc_id", "place", "piece", provider().alias("detector"), F.length("value").alias("length"),
         F.sha2("value", 256).alias("digest"), F.round("probability", 6).alias("probability"),
         (F.col("probability") >= 0.5).alias("is_secret"),
     )

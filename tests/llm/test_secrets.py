@@ -40,3 +40,22 @@ def test_nulls_empties_repeats_and_clashing_columns(spark):
     assert sorted(str(r["doc_id"]) for r in found) == ["3", "3", "None"] and all(r["is_secret"] for r in found)
     assert secrets.scanned(docs.limit(0)).count() == 0
     assert secrets.scanned(docs.drop("source")).count() == 3
+
+
+def test_every_run_of_a_word_is_a_candidate(spark):
+    a, b, c = "A2b3C4d5" * 5, "f0e1d2c3" * 4, "9z8y7x6w" * 3
+    texts = [f'token = "{a}"!!', f'token = "{a}"###', f'x user={a};password="{b}"?', f"{a}|{b}&{c}~ 7", "!" * 200_000 + b]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["place"], r["piece"]): r["value"] for r in secrets.candidates(docs).collect()}
+    assert found == {
+        (0, 2, 0): a, (1, 2, 0): a, (2, 1, 1): a, (2, 1, 3): b, (3, 0, 0): a, (3, 0, 1): b, (3, 0, 2): c, (4, 0, 0): b,
+    }
+    rows = secrets.scanned(docs).collect()
+    assert sorted(r["digest"] for r in rows) == sorted(hashlib.sha256(v.encode()).hexdigest() for v in found.values())
+
+
+def test_a_run_is_assigned_by_the_run_before_it(spark):
+    a, b = "A2b3C4d5" * 5, "f0e1d2c3" * 4
+    docs = spark.createDataFrame([(1, f"user={a};password='{b}',{a} 7")], "doc_id long, text string")
+    rows = secrets.described(secrets.candidates(docs), secrets.common_trigrams(docs)).collect()
+    assert {r["piece"]: (r["assigned"], r["after_digits"]) for r in rows} == {1: (0.0, 0.0), 3: (1.0, 0.0), 4: (0.0, 1.0)}
