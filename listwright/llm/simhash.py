@@ -25,7 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from listwright.llm.base import keyed, without, written
+from listwright.llm.base import fresh, keyed, without, written
 
 SHINGLE = 4
 DISTANCE = 4
@@ -258,39 +258,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, mark, fp and component_id of every row of documents."""
+    """doc_id, mark, fp and component_id of every row of documents, and `first_mark`: the keeper of a
+    component is (component_id, first_mark), its smallest id with that id's smallest mark."""
     spread = docs.select("doc_id", "text")
     prints = written(keyed(spread, fingerprint(F.col("text"), shingle).alias("fp")), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")
+    nodes = written(prints.groupBy("fp").agg(F.min(key).alias("first")), "nodes")
     roots = components(links(nodes, distance))
     rooted = nodes.join(roots, nodes["fp"] == roots["a"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     rooted = written(rooted, "rooted")
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(rooted.join(named, "root").select("fp", "component_id"), "classes")
-    return prints.join(named, "fp").select("doc_id", "mark", "fp", "component_id")
+    named = rooted.groupBy("root").agg(F.min("first").alias("keeper"))
+    named = rooted.join(named, "root").select(
+        "fp", F.col("keeper.doc_id").alias("component_id"), F.col("keeper.mark").alias("first_mark")
+    )
+    return prints.join(written(named, "classes"), "fp").select("doc_id", "mark", "fp", "component_id", "first_mark")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """The document with the smallest id of each component, columns unchanged.
 
-    Of rows with one id and one text, one stays; of rows with one id and near texts, the one with
-    the smallest text hash.
+    Of rows with one id and one text, one stays; of rows with one id in one component, the one with
+    the smallest text hash. Components can share an id or have none: each keeps its own document.
     """
     found = written(classes(docs, shingle, distance), "members")
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("component_id", "mark")
-    first = first.groupBy("component_id").agg(F.min("mark").alias("first"), F.count(F.lit(1)).alias("rows"))
-    first = written(first, "keepers")
-    beside = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "mark")
-    twins = first.filter("rows > 1")
-    rows = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    at_twins = rows.join(twins, rows["component_id"].eqNullSafe(twins["component_id"])).select(
-        rows["doc_id"], rows["mark"], twins["first"]
-    )
-    kept = without(docs, beside.union(at_twins.select("doc_id", "mark")))
-    spared = at_twins.filter("mark = first").select("doc_id", "mark").distinct()
-    of_twins = docs.join(
-        spared, docs["doc_id"].eqNullSafe(spared["doc_id"]) & (F.xxhash64(docs["text"]) == spared["mark"])
-    ).select(*(docs[f"`{c}`"] for c in docs.columns))
-    return kept.union(of_twins.dropDuplicates(["doc_id"]))
+    keeper = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("first_mark"))
+    beside = found.filter(~keeper).select("doc_id", "mark")
+    twins = found.filter(keeper).groupBy("doc_id", "mark").count().filter("count > 1").select("doc_id", "mark")
+    twins = written(twins, "twins")
+    kept = without(docs, beside.union(twins))
+    mark, = fresh(docs, "mark")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    of_twins = marked.join(
+        twins, marked["doc_id"].eqNullSafe(twins["doc_id"]) & (marked[mark] == twins["mark"])
+    ).select(*(marked[f"`{c}`"] for c in marked.columns)).dropDuplicates(["doc_id", mark])
+    return kept.union(of_twins.select(*(F.col(f"`{c}`") for c in docs.columns)))

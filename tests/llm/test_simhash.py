@@ -111,6 +111,15 @@ def test_one_of_a_group_without_ids_stays(spark):
     assert sorted(str(r["doc_id"]) for r in simhash.one_of_each(docs).collect()) == ["7", "None"]
 
 
+def test_each_group_keeps_its_own_document_where_ids_are_shared_or_missing(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(50)) for c in "abcdef"]
+    a, b, c, d, e, f = texts
+    rows = [(None, a, 1), (None, b, 2), (None, b, 2), (8, c, 3), (8, d, 4), (8, d, 4), (9, d, 5), (9, e, 6), (None, e, 7), (9, f, 8), (7, f, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark int")
+    kept = sorted((r["text"], str(r["doc_id"])) for r in simhash.one_of_each(docs).collect())
+    assert kept == [(a, "None"), (b, "None"), (c, "8"), (d, "8"), (e, "9"), (f, "7")]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert simhash.classes(docs).count() == 0
