@@ -37,17 +37,24 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _NAME = re.compile(r"[a-z]+")
 #: Elements whose content is no text of the page.
-RAW = {"script", "style", "template", "noscript", "iframe", "svg", "math", "object", "canvas"}
+RAW = {"script", "style", "template", "iframe", "svg", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins",
     "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u",
     "var", "wbr",
 }
+#: Elements of formulas, which stay in the block that they are in.
+MATH = {
+    "annotation", "annotation-xml", "maction", "math", "merror", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover",
+    "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup",
+    "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics",
+}
+INLINE |= MATH
 #: An opening tag closes an open one of these.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"},
           "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "option": {"option"}}
-SCOPES = {"ul", "ol", "dl", "table", "article", "main", "section", "div", "body", "aside", "nav", "form"}
+SCOPES = {"ul", "ol", "dl", "table", "article", "main", "section", "div", "body", "aside", "nav", "form", "object"}
 
 #: Tags and words of classes and ids that mark what is not main text; also used to label.
 FURNITURE_TAGS = ["nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select"]
@@ -117,6 +124,8 @@ def blocks(page: str | None) -> list[Block]:
                 run.append(" " if tag != "wbr" else "")
             elif tag == "a":
                 links = 0 if token["end"] else 1
+            elif tag in MATH and tag != "math" and not token["end"]:
+                run.append(" ")
             continue
         if token["end"]:
             if tag == "p" and not any(t == "p" for t, _ in stack):
@@ -127,7 +136,8 @@ def blocks(page: str | None) -> list[Block]:
             continue
         flush()
         links = 0
-        close("p", SCOPES)
+        if tag not in ("noscript", "object"):  # these can be within a paragraph
+            close("p", SCOPES)
         for other in CLOSES.get(tag, ()):
             close(other, SCOPES)
         if tag in VOID:
@@ -193,7 +203,7 @@ def features(page: list[Block]) -> list[list[str]]:
         row = ["bias", f"words<{next((n for n in (3, 8, 20, 60) if words < n), 'more')}"]
         row.append("ends" if block.text[-1] in ".!?:;…\"'”’»)" else "open")
         row.append(f"links{min(3, 4 * block.linked // max(1, len(block.text)))}")
-        if any(c.isdigit() for c in block.text[:200]):
+        if any(map(str.isdigit, block.text)):
             row.append("digits")
         tags = [tag for tag, _ in block.path]
         row += [f"in:{t}" for t in set(tags)]

@@ -68,3 +68,21 @@ def test_without_labelled_pages_and_odd_rows(spark):
     assert {r["page_id"]: r["text"] for r in rows if r["page_id"] < 3} == {1: "", 2: ""}
     assert html.train(pages.limit(0)).main_text(f"<article><p>{P}</p></article>") == P
     assert len(field.main_text(f"<article>{f'<p>{P}</p>' * 5000}</article>")) > 300_000
+
+
+def test_formulas_and_fallback_texts_are_text():
+    page = (
+        "<article><p>Here <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math>, as shown.</p>"
+        "<p>Before <noscript>without scripts</noscript> after.</p><object data='a.pdf'><p>The file is a report.</p></object></article>"
+    )
+    found = html.blocks(page)
+    assert [b.text for b in found] == [
+        "Here x = 1 2, as shown.", "Before", "without scripts", "after.", "The file is a report.",
+    ]
+    tags = [[tag for tag, _ in b.path] for b in found]
+    assert tags == [["article", "p"], ["article", "p"], ["article", "p", "noscript"], ["article", "p"], ["article", "object", "p"]]
+
+
+def test_digits_are_sought_in_the_whole_block():
+    rows = html.features(html.blocks(f"<p>{'word ' * 100}in 1984.</p><p>{'word ' * 100}</p>"))
+    assert ["digits" in row for row in rows] == [True, False]
