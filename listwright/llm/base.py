@@ -20,12 +20,23 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share, `spark.checkpoint.dir`.
 
-    Where that is unset, the warehouse, which is shared as well, takes its place.
+    Where that is unset, a session on one machine takes a path beside its warehouse; a cluster has no
+    folder that all executors see, so there it is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-scratch"
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a table that `shared_path` named and nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession):
     """Within, an action's shuffle files go when it ends instead of when the driver collects garbage."""

@@ -98,3 +98,82 @@ c1 as (select v, sum(n) as n from (
 s as (select id, avg(ln(c2.n / c1.n)) as score from pairs join c2 using (v, w) join c1 using (v) group by 1)
 select doc_id, len(w)::bigint as n_words, round(score, 6) as score from d left join s using (id)
 """
+
+
+def _clustering(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """Rounds as one table each; the last has only distances."""
+    steps = []
+    for turn in range(rounds + 1):
+        steps.append(f"""
+near{turn} as materialized (
+  select row_id, vec_id, p, c, x, list_sum(list_transform(range(1, {dims + 1}), lambda i: (p[i] - x[i]) * (p[i] - x[i]))) as d
+  from v, c{turn}
+),
+a{turn} as materialized (select row_id, any_value(vec_id) as vec_id, any_value(p) as p, arg_min(c, d * {k} + c) as c, min(d) as d
+  from near{turn} group by row_id)""")
+        if turn < rounds:
+            steps.append(f"""
+m{turn} as (
+  select c, list(m order by i) as x from (
+    select c, i, floor_div(sum(p[i]), count(*)) as m from a{turn}, unnest(range(1, {dims + 1})) as r(i) group by c, i
+  ) group by c
+),
+c{turn + 1} as materialized (select c, coalesce(m{turn}.x, c{turn}.x) as x from c{turn} left join m{turn} using (c))""")
+    floor = "cast(({0}) // ({1}) as bigint) - case when ({0}) < 0 and ({0}) % ({1}) <> 0 then 1 else 0 end"
+    body = ",".join(steps).replace("floor_div(sum(p[i]), count(*))", floor.format("sum(p[i])", "count(*)"))
+    return f"""
+with v as materialized (
+  select row_number() over () as row_id, vec_id, list_transform(embedding, lambda e: cast(floor(cast(e as double) * 1024) as bigint)) as p
+  from embeddings where len(embedding) = {dims}
+    and len(list_filter(embedding, lambda e: e is not null and not isnan(e) and not isinf(e))) = {dims}
+),
+c0 as materialized (
+  select row_number() over (order by sha256('3:' || vec_id)) - 1 as c, p as x from v order by sha256('3:' || vec_id) limit {k}
+),{body}
+select vec_id, cast(a.c as integer) as cluster, cast(d as bigint) as distance,
+  cast(sum(d) over (partition by a.c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
+  sha256(array_to_string(x, ',')) as centroid_sha256
+from a{rounds} a join c{rounds} using (c)
+"""
+
+
+CHECKS["op11_centroid_clustering"] = _clustering()
+
+CHECKS["op12_phrase_mining"] = """
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+),
+w as materialized (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+one as materialized (select lang, word, count(*) as f from (select lang, unnest(w) as word from w) group by all),
+total as (select lang, sum(f) as n from one group by lang),
+grams as materialized (
+  select lang, 1 as size, word as phrase, f from one where f >= 30
+  union all select * from (""" + " union all ".join(
+    f"select lang, {n} as size, array_to_string(w[i:i + {n - 1}], ' ') as phrase, count(*) as f from w, "
+    f"unnest(range(1, len(w) - {n} + 2)) as r(i) group by all having count(*) >= 30" for n in (2, 3, 4)
+) + """)
+),
+cuts as (
+  select lang, phrase, size, f as a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') as x,
+    array_to_string(string_split(phrase, ' ')[k + 1:size], ' ') as y
+  from grams, unnest(range(1, size)) as r(k) where size > 1
+),
+scored as (
+  select c.lang, c.phrase, a, x.f as l, y.f as r, cast(2000000 * a::hugeint // (x.f + y.f) as bigint) as score,
+    row_number() over (partition by c.lang, c.phrase order by 2000000 * a::hugeint // (x.f + y.f), k) as nth
+  from cuts c join grams x on x.lang = c.lang and x.phrase = c.x join grams y on y.lang = c.lang and y.phrase = c.y
+),
+inside as (
+  select lang, phrase, max(f) as longer from (
+    select lang, f, array_to_string(string_split(phrase, ' ')[i:i + n - 1], ' ') as phrase
+    from grams, unnest(range(2, 4)) as s(n), unnest(range(1, 4)) as r(i) where n < size and i + n - 1 <= size
+  ) group by all
+),
+ranked as (
+  select s.lang, row_number() over (partition by s.lang order by score desc, a desc, s.phrase) as rank, s.phrase, a, l, r, n, score
+  from scored s join total t on t.lang = s.lang left join inside i on i.lang = s.lang and i.phrase = s.phrase
+  where nth = 1 and (longer is null or 100 * longer < 80 * a)
+)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, score from ranked where rank <= 2000
+"""

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from listwright.llm import checks, decontam, html, lines, lm, pieces, quality, secrets, simhash, toxicity, urls
+from listwright.llm import (
+    checks, clustering, decontam, html, lines, lm, mixing, phrases, pieces, quality, secrets, simhash, toxicity, urls,
+)
 from listwright.llm.base import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -79,10 +81,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(table(spark, sf_dir, "embeddings")).report()
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(table(spark, sf_dir, "documents"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan, op2_simhash_near_dedup, op3_benchmark_decontamination, op4_quality_rules, op5_html_extraction,
-        op6_toxicity, op7_url_filter, op8_lm_scores, op9_sentencepiece, op10_line_dedup,
+        op6_toxicity, op7_url_filter, op8_lm_scores, op9_sentencepiece, op10_line_dedup, op11_centroid_clustering,
+        op12_phrase_mining, op13_source_mixing,
     )
 }
 CHECKS: dict[str, str] = dict(checks.CHECKS)

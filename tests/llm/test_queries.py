@@ -10,7 +10,7 @@ from listwright.llm.base import table
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-NATIVE = ["op1_secret_scan", "op3_benchmark_decontamination", "op4_quality_rules", "op7_url_filter"]
+NATIVE = ["op1_secret_scan", "op3_benchmark_decontamination", "op4_quality_rules", "op7_url_filter", "op13_source_mixing"]
 
 
 @pytest.fixture(scope="module")
