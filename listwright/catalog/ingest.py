@@ -11,7 +11,9 @@ from listwright.fixed_values import COMPANY_SUFFIXES, REQUIRED_FIELDS
 from listwright.functions import payload as js, text as tx, urls
 from listwright.operators import checks, merge
 from listwright.operators import normalize as nz
+from listwright.sources.arrays import read_ranges
 from listwright.sources.feeds import as_raw, feed_status as status_of, union_all
+from listwright.sources.scratch import scratch_dir
 
 # --- scans ---------------------------------------------------------------------------------------
 
@@ -339,6 +341,34 @@ def version_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("array_file_ranges", f"""
+WITH {FEED_SQL}, objects AS (
+  SELECT source, CASE WHEN pos % 23 = 5 THEN '' ELSE source_id END AS source_id, row_number() OVER (
+    PARTITION BY source, pos // 5000 ORDER BY pos) AS place, pos // 5000 AS part
+  FROM feed)
+SELECT source, part, CAST(place AS BIGINT) AS pos, source_id FROM objects
+""")
+def array_file_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed objects, landed as files of one array for each 5,000 ids of a feed and read by byte ranges."""
+    folder = f"{scratch_dir(spark, 'array-files')}/feeds"
+    objects = ad.feed_payloads(spark, sf_dir).select("source", "pos", "payload", F.floor(F.col("pos") / 5000).alias("part"))
+    # The first element of an array opens it; the objects follow, each after a comma.
+    opened = objects.select("source", "part").distinct().select(
+        "source", F.lit(-1).cast("bigint").alias("pos"), F.lit('["feed"').alias("value"), "part"
+    )
+    closed = opened.select("source", F.lit(2**62).alias("pos"), F.lit("]").alias("value"), "part")
+    lines = objects.select("source", "pos", F.concat(F.lit(","), "payload").alias("value"), "part").union(opened).union(closed)
+    placed = lines.repartition("source", "part").sortWithinPartitions("source", "part", "pos")
+    placed.select("source", "part", "value").write.partitionBy("source", "part").text(folder, lineSep=" ")
+    found = read_ranges(spark, spark.read.option("lineSep", "}").text(folder)).filter("pos > 0")
+    doc = js.parse_fields(F.col("payload"), ("id",))
+    return found.select(
+        F.regexp_extract("file", "source=([^/]*)/", 1).alias("source"),
+        F.regexp_extract("file", "part=([^/]*)/", 1).cast("bigint").alias("part"), "pos",
+        js.as_text(doc["id"]).alias("source_id"),
+    )
+
+
 # --- merge ---------------------------------------------------------------------------------------
 
 SIGHTING = merge.MergeSpec(

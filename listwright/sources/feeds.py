@@ -2,10 +2,10 @@
 
 A feed is one or more files of JSON listings. Two layouts are read:
 
-* ``array``: each file is one JSON array, as feeds are published. A file is the unit of parallelism
-  and of failure, since nothing inside an array can be found without reading what precedes it.
+* ``array``: each file is one JSON array, as feeds are published. A file is the unit of failure, but
+  is read by as many tasks as it has byte ranges (`sources.arrays`). As a stream, where a micro-batch
+  is to be one plan, a file is one task.
 * ``lines``: one ``{"pos": n, "listing": {...}}`` object per line, written when a feed is landed.
-  Such files split freely, so this is the layout for feeds larger than a task should read.
 """
 
 from __future__ import annotations
@@ -18,9 +18,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from listwright import schemas
-from listwright.functions.payload import evaluated_once
-
-FEED_OK, FEED_FAILED = "ok", "failed"
+from listwright.sources.arrays import read_arrays
+from listwright.sources.elements import FEED_FAILED, FEED_OK, as_json_text, element_texts
 
 
 @dataclass(frozen=True)
@@ -33,44 +32,16 @@ class Feed:
 def _array_documents(documents: DataFrame) -> DataFrame:
     """(source, source_ord, file, document) -> raw listings.
 
-    The document is parsed inside an object, because a bare list reader stops at the closing bracket
-    and would not notice text after it. A file that is empty or is not one array leaves a marker
-    row without a position.
+    A file that is empty or is not one array leaves a marker row without a position.
     """
-    wrapped = F.concat(F.lit('{"listings":'), F.col("document"), F.lit(',"end":true}'))
-    parsed = F.from_json(
-        wrapped, "listings array<string>, end boolean, broken string",
-        {"columnNameOfCorruptRecord": "broken"},
-    )
-    # A text among the elements loses its quotes above and would pass for the object it may hold.
-    typed = F.from_json(wrapped, "listings array<variant>")["listings"]
-    split = documents.select(
+    parsed = element_texts(documents, "source", "source_ord", "file")
+    return parsed.select(
         "source", "source_ord", "file",
-        evaluated_once(F.struct(parsed.alias("texts"), typed.alias("typed"))).alias("parsed"),
-    )
-    texts = F.col("parsed.texts")
-    whole = texts["broken"].isNull() & F.coalesce(texts["end"], F.lit(False))
-    listings = F.when(whole, F.arrays_zip(
-        texts["listings"].alias("text"), F.col("parsed.typed").alias("typed")
-    ))
-    exploded = split.select(
-        "source", "source_ord", "file",
-        F.when(listings.isNull(), FEED_FAILED).otherwise(FEED_OK).alias("feed_status"),
-        F.posexplode_outer(listings).alias("pos", "element"),
-    )
-    text = F.col("element.text")
-    quoted = F.schema_of_variant(F.col("element.typed")) == "STRING"
-    return exploded.select(
-        "source", "source_ord", "file", "feed_status", "pos",
-        F.when(quoted, _as_json_text(text)).otherwise(text).alias("payload"),
+        F.when(F.col("elements").isNull(), FEED_FAILED).otherwise(FEED_OK).alias("feed_status"),
+        F.posexplode_outer("elements").alias("pos", "payload"),
     )
 
 
-def _as_json_text(text: Column) -> Column:
-    """A text as JSON, so that it is read as a text and not as what it may hold."""
-    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
-
-
 def _line_records(lines: DataFrame) -> DataFrame:
     """(source, source_ord, file, document) -> raw listings.
 
@@ -87,12 +58,16 @@ def _line_records(lines: DataFrame) -> DataFrame:
         "source", "source_ord", "file", "feed_status",
         F.when(landed, F.col("envelope.pos")).otherwise(F.lit(-1)).alias("pos"),
         F.when(landed, F.col("envelope.listing"))
-        .otherwise(_as_json_text(F.col("document"))).alias("payload"),
+        .otherwise(as_json_text(F.col("document"))).alias("payload"),
     )
 
 
 def as_raw(documents: DataFrame, layout: str) -> DataFrame:
     rows = _array_documents(documents) if layout == "array" else _line_records(documents)
+    return _shaped(rows)
+
+
+def _shaped(rows: DataFrame) -> DataFrame:
     return rows.select(
         *(F.col(f.name).cast(f.dataType) for f in schemas.RAW_LISTING.fields)
     )
@@ -111,7 +86,11 @@ def tag(documents: DataFrame, feed: Feed, ordinal: int) -> DataFrame:
 def read_feed(spark: SparkSession, feed: Feed, ordinal: int) -> DataFrame:
     """Raw listings of one feed; a feed that cannot be opened gives one failure marker."""
     try:
-        documents = spark.read.text(feed.path, wholetext=feed.layout == "array")
+        if feed.layout == "array":
+            return _shaped(read_arrays(spark, feed.path).select(
+                F.lit(feed.name).alias("source"), F.lit(ordinal).alias("source_ord"), "*"
+            ))
+        documents = spark.read.text(feed.path)
     except AnalysisException:
         return failed_feed(spark, feed, ordinal)
     return as_raw(tag(documents, feed, ordinal), feed.layout)
