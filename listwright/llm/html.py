@@ -8,8 +8,10 @@ are main text and the rest; Viterbi decoding gives the labels of all blocks of a
 The field is trained on labelled pages, by gradient steps on the likelihood. Labelled pages come
 from a bounded sample of the table, `sample_pages` pages with the smallest hash of their id, whose
 own semantic markup labels them: blocks in an `article` or `main` are main text unless furniture
-surrounds them. As a sample may lack kinds of furniture, each sampled page is also labelled a second
-time with furniture put around and between its blocks (`FURNITURE`), also inside the article.
+surrounds them. As a sample may lack kinds of furniture, lists in articles, or pages without semantic
+tags, each sampled page is learned in five copies: as it is; with furniture put around and between
+its blocks, also inside the article; with short lists in its text and furniture; and the last two
+with plain elements in place of `article` and `main`.
 
 Defined cases: null and empty pages, and pages without text, give the empty string; unclosed,
 crossed and cut-off tags are taken as browsers take them, roughly; repeated pages give repeated
@@ -29,28 +31,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 SAMPLE_PAGES = 300
 CHAIN = 40
 
+# As browsers read a tag: a quote opens a value only after an equals sign; else ">" ends the tag.
+_VALUE = r"(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]*+)"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)"
-    r"(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)"
+    rf"(?P<attrs>(?:[\s/]|[^\s/>][^\s/>=]*+(?:\s*=\s*{_VALUE})?)*+)(?:>|\Z)",
     re.DOTALL,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_NAME = re.compile(r"[a-z]+")
+_NAMES = re.compile(r"(?<![^\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+))", re.IGNORECASE)
+_WORD = re.compile(r"[a-z]+")
 #: Elements whose content is no text of the page.
 RAW = {"script", "style", "template", "iframe", "svg", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-INLINE = {
-    "a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins",
-    "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u",
-    "var", "wbr",
+#: Elements that begin and end blocks; all others, known or not, are within the text that they are in.
+BLOCKS = {
+    "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "col", "colgroup", "dd", "details",
+    "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4",
+    "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "listing", "main", "menu", "nav", "noscript", "object",
+    "ol", "optgroup", "option", "p", "plaintext", "pre", "search", "section", "select", "summary", "table", "tbody", "td",
+    "textarea", "tfoot", "th", "thead", "title", "tr", "ul", "xmp",
 }
-#: Elements of formulas, which stay in the block that they are in.
+#: Elements of formulas whose texts are told apart.
 MATH = {
-    "annotation", "annotation-xml", "maction", "math", "merror", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover",
+    "annotation", "annotation-xml", "maction", "merror", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover",
     "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup",
     "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics",
 }
-INLINE |= MATH
 #: An opening tag closes an open one of these.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"},
           "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "option": {"option"}}
@@ -64,6 +70,12 @@ FURNITURE_NAMES = [
     "comment", "comments", "reply", "replies", "disqus", "related", "share", "social", "widget", "pagination",
     "navigation", "contentinfo", "complementary", "search", "form",
 ]
+#: Last words of names that say how something is laid out.
+LAYOUT = {
+    "area", "bar", "block", "box", "button", "buttons", "column", "container", "content", "group", "icons", "inner", "item",
+    "items", "left", "link", "links", "list", "menu", "outer", "panel", "posts", "right", "row", "section", "widget", "wrap",
+    "wrapper",
+}
 
 
 @dataclass
@@ -84,15 +96,13 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal run, linked
         text = " ".join(entities.unescape("".join(run)).split())
         if text:
-            path = tuple(e for e in stack if e[0] not in INLINE)
-            found.append(Block(path, text, linked))
+            found.append(Block(tuple(stack), text, linked))
         run, linked = [], 0
 
     def close(tag: str, scopes: set[str] = frozenset()):
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
-                if any(t not in INLINE for t, _ in stack[i:]):
-                    flush()
+                flush()
                 del stack[i:]
                 return
             if stack[i][0] in scopes:
@@ -119,12 +129,10 @@ def blocks(page: str | None) -> list[Block]:
                 place = end.end() if end else len(page)
             run.append(" ")
             continue
-        if tag in INLINE:
-            if tag in ("br", "wbr", "img"):
-                run.append(" " if tag != "wbr" else "")
-            elif tag == "a":
+        if tag not in BLOCKS:
+            if tag == "a":
                 links = 0 if token["end"] else 1
-            elif tag in MATH and tag != "math" and not token["end"]:
+            elif tag in ("br", "img", "input") or tag in MATH and not token["end"]:
                 run.append(" ")
             continue
         if token["end"]:
@@ -143,7 +151,7 @@ def blocks(page: str | None) -> list[Block]:
         if tag in VOID:
             continue
         names = frozenset(
-            n for m in _NAMES.finditer(token["attrs"]) for n in _NAME.findall((m[1] or m[2] or m[3] or "").lower())
+            n for m in _NAMES.finditer(token["attrs"]) for n in (m[1] or m[2] or m[3] or "").lower().split()
         )
         stack.append((tag, names))
     take(page[place:])
@@ -151,9 +159,17 @@ def blocks(page: str | None) -> list[Block]:
     return found
 
 
+def kind(name: str) -> str:
+    """What a class or id names: the last word before those of layout. "site-footer", "share-buttons"."""
+    words = _WORD.findall(name)
+    while len(words) > 1 and words[-1] in LAYOUT:
+        words.pop()
+    return words[-1] if words else ""
+
+
 def furnished(block: Block) -> bool:
     """Whether an ancestor says that the block is not main text."""
-    return any(tag in FURNITURE_TAGS or tag in ("head", "title") or not names.isdisjoint(FURNITURE_NAMES)
+    return any(tag in FURNITURE_TAGS or tag in ("head", "title") or any(kind(n) in FURNITURE_NAMES for n in names)
                for tag, names in block.path)
 
 
@@ -196,6 +212,40 @@ def with_furniture(page: list[Block], labels: list[int], number: int) -> tuple[l
     return made, marks
 
 
+def with_lists(page: list[Block], labels: list[int], number: int) -> tuple[list[Block], list[int]]:
+    """The page with short list items, some of them links, among its main text, some of which is in elements of its own."""
+    made, marks = [], []
+    for place, (block, label) in enumerate(zip(page, labels)):
+        if label and place % 4 == number % 4:
+            own = (("div", "section", "figure")[number % 3], frozenset([(), ("lead",), ("quote",), ("x17",)][place // 4 % 4]))
+            block = Block((*block.path[:-1], own, *block.path[-1:]), block.text, block.linked)
+        made.append(block)
+        marks.append(label)
+        if label and place % 3 == number % 3:
+            above = tuple(e for e in block.path if e[0] not in ("p", "li", "h1", "h2", "h3"))
+            words = block.text.split()[:12]
+            for n in range(1 + (place + number) % 4):
+                text = " ".join(words[2 * n:2 * n + 1 + (n + number) % 3]) or words[0]
+                leaf = (("ol" if number % 2 else "ul", frozenset()), ("li", frozenset()))
+                made.append(Block((*above, *leaf), text, len(text) if number % 4 == 0 else 0))
+                marks.append(1)
+    return made, marks
+
+
+def without_semantics(page: list[Block], number: int) -> list[Block]:
+    """The page with plain elements, some of them with a name, in place of `article` and `main`."""
+    names = [(), ("content",), ("post",), ("entry-content",), ("story",), ("page", "text"), ("body-text",)]
+    plain = ("div" if number % 3 else "section", frozenset(names[number % len(names)]))
+    return [Block(tuple(plain if tag in ("article", "main") else (tag, own) for tag, own in b.path), b.text, b.linked) for b in page]
+
+
+def training_copies(page: list[Block], labels: list[int], number: int) -> list[tuple[list[Block], list[int]]]:
+    """A labelled page as it is, with furniture, with lists and furniture, and the last two without semantic tags."""
+    furniture = with_furniture(page, labels, number)
+    both = with_furniture(*with_lists(page, labels, number), number + 1)
+    return [(page, labels), furniture, both, *((without_semantics(own, number), marks) for own, marks in (furniture, both))]
+
+
 def features(page: list[Block]) -> list[list[str]]:
     rows = []
     for block in page:
@@ -208,7 +258,11 @@ def features(page: list[Block]) -> list[list[str]]:
         tags = [tag for tag, _ in block.path]
         row += [f"in:{t}" for t in set(tags)]
         row += [f"at:{tags[-1]}"] if tags else ["at:none"]
-        row += [f"name:{n}" for n in {n for _, names in block.path for n in names}]
+        names = {n for _, own in block.path for n in own}
+        row += [f"kind:{n}" for n in {kind(n) for n in names} if n]
+        row += [f"name:{n}" for n in names if n != kind(n)]
+        if furnished(block):
+            row.append("furniture")
         rows.append(row)
     return rows
 
@@ -245,7 +299,7 @@ class Field:
         return "\n\n".join(b.text for b, label in zip(found, self.decode(found)) if label)
 
 
-def fit(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 200, penalty: float = 1e-4) -> Field:
+def fit(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 200, penalty: float = 1e-5) -> Field:
     """Maximum likelihood over chains of at most `CHAIN` blocks, all chains stepped together."""
     chains = [
         (rows[i:i + CHAIN], labels[i:i + CHAIN]) for rows, labels in pages for i in range(0, len(rows), CHAIN)
@@ -294,16 +348,17 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Field:
     """The field, from the pages of the sample that have semantic markup. At most `sample_pages`
     pages reach the driver, as features."""
     chosen = pages.filter("html is not null").select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
+    chosen = chosen.select(F.pmod(F.xxhash64("page_id"), F.lit(10_000)).alias("number"), "html")
 
     def labelled(batches):
         for part in batches:
             rows = []
-            for number, page in zip(part["page_id"], part["html"]):
+            for number, page in zip(part["number"].tolist(), part["html"]):
                 found = blocks(page)
                 labels = markup_labels(found)
                 if labels is None:
                     continue
-                for own, marks in ((found, labels), with_furniture(found, labels, 0 if pd.isna(number) else int(number))):
+                for own, marks in training_copies(found, labels, number):
                     rows.append(([" ".join(row) for row in features(own)], marks))
             if rows:
                 yield pd.DataFrame(rows, columns=["features", "labels"])
@@ -313,8 +368,7 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Field:
     if not known:
         text = Block((("html", frozenset()), ("body", frozenset()), ("article", frozenset()), ("p", frozenset())),
                      "A sentence of the main text, long enough to be one.", 0)
-        pairs = [with_furniture([text] * 4, [1] * 4, i) for i in range(60)]
-        known = [(features(own), marks) for own, marks in pairs]
+        known = [(features(own), marks) for i in range(60) for own, marks in training_copies([text] * 4, [1] * 4, i)]
     return fit(known)
 
 

@@ -14,14 +14,20 @@ P = "This is a sentence of the article, and it goes on for a while before it end
     ("<div>a<div>b</div>c</div>", ["a", "b", "c"]), ("<P>A</P><p>cut <b cl", ["A", "cut"]),
     ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]), ("a</p></div>b", ["a", "b"]),
     ("<template><p>no</p></template><p>x</p>", ["x"]), ("<p>a < b</p>", ["a < b"]),
+    ("<p class=it's>a<p>it's", ["a", "it's"]), ('<p class="x"">a</p><p>say "b"</p>', ["a", 'say "b"']),
+    ("<p title = 'a > b' x=\"c > d\">e</p>", ["e"]), ('<p a=b"c>d</p>"', ["d", '"']), ('<p a"b>c</p>', ["c"]), ("<p =>c</p>", ["c"]),
+    ("<p>a <x-term>b</x-term>, <ruby>c<rt>d</rt></ruby> <data value=1>e</data> <nobr>f</nobr> <output>g</output>.</p>", ["a b, cd e f g."]),
+    ('<p class="open>a</p>', []),
 ])
 def test_blocks(page, texts):
     assert [b.text for b in html.blocks(page)] == texts
 
 
 def test_ancestors_and_names():
-    block, = html.blocks('<body><div class="Side-bar x" id=main><p><b>t</b></p></div>')
-    assert [t for t, _ in block.path] == ["body", "div", "p"] and block.path[1][1] == {"side", "bar", "x", "main"}
+    block, = html.blocks('<body><div class="Side-bar x" id=main data-id=y><p><b>t</b></p></div>')
+    assert [t for t, _ in block.path] == ["body", "div", "p"] and block.path[1][1] == {"side-bar", "x", "main"}
+    names = ["share-price", "share-buttons", "site-footer", "comment_list", "ad", "menu", "nav-menu", "x1"]
+    assert [html.kind(n) for n in names] == ["price", "share", "footer", "comment", "ad", "menu", "nav", "x"]
 
 
 def site(i):
@@ -86,3 +92,43 @@ def test_formulas_and_fallback_texts_are_text():
 def test_digits_are_sought_in_the_whole_block():
     rows = html.features(html.blocks(f"<p>{'word ' * 100}in 1984.</p><p>{'word ' * 100}</p>"))
     assert ["digits" in row for row in rows] == [True, False]
+
+
+def plain(tag, inner):
+    return f"<body><nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav>{tag}{inner}</div><footer><p>&copy; site</p></footer></body>"
+
+
+PARAGRAPHS = [f"{P} Part {n}." for n in range(8)]
+TEXTS = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+
+
+@pytest.mark.parametrize("tag", ['<div class="content">', "<div>", '<div id="post-17">', '<div class="story it\'s">'])
+def test_pages_without_semantic_tags(field, tag):
+    assert field.main_text(plain(tag, f"<h1>Head</h1>{TEXTS}")) == "\n\n".join(["Head", *PARAGRAPHS])
+
+
+def test_short_lists_in_an_article(field):
+    items = "<ul><li>Salt</li><li>Flour</li></ul>"
+    for tag in ("<article>", "<main>"):
+        page = f"<body><nav><ul><li><a href=x>Home</a></ul></nav>{tag}<h1>Bread</h1>{TEXTS}{items}{TEXTS}{tag.replace('<', '</')}</body>"
+        assert field.main_text(page) == "\n\n".join(["Bread", *PARAGRAPHS, "Salt", "Flour", *PARAGRAPHS])
+
+
+def test_names_that_only_begin_like_furniture(field):
+    page = f"<article><h1>Head</h1>{TEXTS}<div class='share-price'><p>{P}</p></div><div class='share-buttons'><p>Share this page with friends.</p></div></article>"
+    assert field.main_text(page) == "\n\n".join(["Head", *PARAGRAPHS, P])
+
+
+@pytest.mark.parametrize("opened", ["<p class=it's>", '<p class="x"">', "<p data-a='b>c'>"])
+def test_stray_quotes_lose_no_text(field, opened):
+    body = TEXTS.replace("<p>", opened)
+    assert field.main_text(f"<body><article><h1>Head</h1>{body}</article></body>") == "\n\n".join(["Head", *PARAGRAPHS])
+
+
+def test_a_page_of_many_quotes_is_read_in_linear_time(field):
+    import time
+
+    start = time.time()
+    assert field.main_text("<article><p>" + "<p a='b\"" * 20000 + f">{P}") is not None
+    assert html.blocks("<p " + "a=b " * 200000 + f">{P}")[0].text == P
+    assert time.time() - start < 20
