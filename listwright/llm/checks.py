@@ -88,14 +88,22 @@ from h left join fits using (id)
 """
 
 CHECKS["op8_lm_scores"] = f"""
-with d as (select row_number() over () as id, doc_id, {_SPACED.format('text')} as w from documents),
-pairs as (
-  select id, unnest(list_prepend(chr(2), w[:-2])) as v, unnest(w) as w from d where len(w) > 0
-),
-c2 as (select v, w, count(*) as n from pairs group by all),
-c1 as (select v, sum(n) as n from (
-  select w as v, n from c2 union all select chr(2), count(*) from d where len(w) > 0) group by 1),
-s as (select id, avg(ln(c2.n / c1.n)) as score from pairs join c2 using (v, w) join c1 using (v) group by 1)
+with d as materialized (select row_number() over () as id, doc_id, {_SPACED.format('text')} as w from documents),
+t as materialized (
+  select id, i, list_prepend(' ', w)[i - 1] as u, list_prepend(' ', w)[i] as v, w[i] as w
+  from d, unnest(range(1, len(w) + 1)) as r(i)
+),
+c3 as (select u, v, w, count(*) as n3 from t where i > 1 group by all having count(*) >= 2),
+c2 as (select v, w, count(*) as n2 from t group by all having count(*) >= 2),
+c1 as (select w, count(*) as n1 from t group by all),
+s as (
+  select t.id, avg(case when n3 is not null then ln(n3 / ctx.n2) when c2.n2 is not null
+    then ln(c2.n2 / case when t.v = ' ' then (select count(distinct id) from t) else one.n1 end) + case when i > 1 then ln(0.4) else 0 end
+    else ln(c1.n1 / (select count(*) from t)) + least(i, 2) * ln(0.4) end) as score
+  from t join c1 on c1.w = t.w left join c2 on c2.v = t.v and c2.w = t.w left join c3 on c3.u = t.u and c3.v = t.v and c3.w = t.w and t.i > 1
+    left join c2 ctx on ctx.v = t.u and ctx.w = t.v and t.i > 1 left join c1 one on one.w = t.v
+  group by t.id
+)
 select doc_id, len(w)::bigint as n_words, round(score, 6) as score from d left join s using (id)
 """
 

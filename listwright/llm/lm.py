@@ -1,121 +1,290 @@
-"""Language-model scores with stupid backoff, computed relationally.
+"""Language-model scores with stupid backoff, from count tables partitioned by hash.
 
-Words are those between white space; each text starts after a start mark. Tables of counts of word
-pairs and of single words are made over all documents, by hash, and joined with the exploded pairs
-and words; logarithms are summed per document:
-score(w | v) = c(v w) / c(v) where the pair was counted, else 0.4 c(w) / N, and 0.4 / N for a word
-that was not; N is the number of words. A score is the mean natural logarithm over the words of a
-text, so texts of all lengths compare.
+Words are those between white space; each text starts after a start mark. With `order` 3, a word
+after two others has the score c(u v w) / c(u v) if the three were counted, else 0.4 c(v w) / c(v)
+if the two were, else 0.16 c(w) / N; after the start mark it has one step less. N is the number of
+words, and an uncounted word counts as one. N-grams of two words or more that occur fewer than
+`least` times are not in the tables, so their words back off. A text's score is the mean natural
+logarithm over its words, so texts of all lengths compare.
 
-Pairs are worked through in `passes` parts by hash. Each part's shuffles are dropped before the
-next, which bounds the disk; every pair is in just one part. Counts are summed before they are
-shuffled, and joins shuffle plain rows on both sides, so that hot pairs are split.
+Documents are packed into blocks: word numbers, the words' hashes, and where each text ends. For
+each n, a block sends the hashes of its distinct n-grams with their counts, packed by leading bits
+(the part), one row for each part. All that blocks send to a part is summed, which gives that part of
+the count table (`hashes`, `counts`) and, joined with what each block asked, the block's answer.
+Answers come back by block and are summed per document. A hot n-gram is one number of each block. As an n-gram is never more frequent than those inside it, a block asks only for n-grams
+whose own parts are in the tables; so no disk is spent on words that back off anyway.
 
-Where the documents that are scored are those that were counted, each pair has a count and the
-second term does not occur; `score` with other documents uses it.
+Hashes have 64 bits: of ten billion distinct n-grams, three pairs are expected to share one and
+their counts. Parts hold about `PART_WORDS` n-grams.
 
-Defined cases: null and wordless texts have n_words 0 and a null score. Rows with one id and one
-text count each time and get one score each. An empty corpus has no counts: every pair backs off.
+Defined cases: null and wordless texts have n_words 0 and a null score. Repeated rows count each
+time and get one score each. With an empty corpus every word backs off. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
-from listwright.llm.base import keyed, same_row, spaced_words, written
+from listwright.llm.base import written
 
-START = "\x02"
+ORDER = 3
+LEAST = 2
 BACKOFF = 0.4
-PASSES = 2
+BLOCK_WORDS = 1 << 19
+PART_WORDS = 1 << 22
+START = b"\x02 start"  # no word holds a blank
 
 
 @dataclass
 class Counts:
-    """Counts of single words (h, n), of pairs (h, n) by part, and of all words."""
+    """Count tables by n (part, hashes, counts), the number of words, and what the corpus's own blocks were answered."""
 
-    words: DataFrame
-    pairs: list[DataFrame]
+    tables: list[DataFrame]
     total: int
+    least: int
+    part_bits: int
+    blocks: DataFrame
+    answers: list[DataFrame]
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    """doc_id, mark and the words, without texts that have none."""
-    return keyed(docs, spaced_words(F.col("text")).alias("words")).filter("size(words) > 0")
+# --- blocks ----------------------------------------------------------------------------------------
 
 
-def exploded_words(docs: DataFrame, contexts: bool) -> DataFrame:
-    """doc_id, mark and h of each word; as contexts, the start mark and all words but the last."""
-    words = F.col("words")
-    if contexts:
-        words = F.concat(F.array(F.lit(START)), F.slice(words, 1, F.size(words) - 1))
-    return _words(docs).select("doc_id", "mark", F.explode(words).alias("word")).select(
-        "doc_id", "mark", F.xxhash64("word").alias("h")
-    )
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """block, ids and ends (of the texts), text (word numbers, each text after a start mark), words (their hashes), n_words."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        ids, ends, texts, numbers, size = [], [], [], _Numbers({START: 0}), 0
 
-def exploded_pairs(docs: DataFrame, part: int, parts: int) -> DataFrame:
-    """doc_id, mark, h of each pair and the hashes v and w of its words."""
-    before = F.concat(F.array(F.lit(START)), F.col("words"))
-    rows = _words(docs).select("doc_id", "mark", F.slice(before, 1, F.size("words")).alias("v"), F.col("words").alias("w"))
-    rows = rows.select("doc_id", "mark", F.inline(F.arrays_zip("v", "w")))
-    hashes = (F.xxhash64("v", "w").alias("h"), F.xxhash64("v").alias("v"), F.xxhash64("w").alias("w"))
-    return rows.select("doc_id", "mark", *hashes).filter(
-        F.pmod("h", F.lit(parts)) == part
+        def row() -> pa.RecordBatch:
+            text = np.concatenate([np.zeros(0, np.int32), *texts])
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in numbers], np.uint64)
+            return pa.RecordBatch.from_arrays([
+                pa.array([number], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([ends], pa.list_(pa.int64())),
+                pa.array([text.tobytes()], pa.binary()), pa.array([hashes.tobytes()], pa.binary()),
+                pa.array([int((text > 0).sum())], pa.int64()),
+            ], ["block", "ids", "ends", "text", "words", "n_words"])
+
+        for batch in batches:
+            id_type = batch.schema.field("doc_id").type
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                words = (text.as_py() or b"").split()
+                lookup = numbers.__getitem__
+                found = np.fromiter(map(lookup, words), np.int32, len(words))
+                if words:
+                    texts += [np.zeros(1, np.int32), found]
+                    size += len(words) + 1
+                ids.append(doc_id)
+                ends.append(size)
+                if size + len(ids) >= block_words:
+                    yield row()
+                    number += 1
+                    ids, ends, texts, numbers, size = [], [], [], _Numbers({START: 0}), 0
+        if ids:
+            yield row()
+
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
+        packed, f"block bigint, ids array<{kind}>, ends array<bigint>, text binary, words binary, n_words bigint"
     )
 
 
-def count(docs: DataFrame, passes: int = PASSES) -> Counts:
-    starts = _words(docs).select(F.xxhash64(F.lit(START)).alias("h"))
-    rows = exploded_words(docs, contexts=False).select("h").union(starts)
-    words = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "words")
-    pairs = [
-        written(exploded_pairs(docs, p, passes).groupBy("h").agg(F.count(F.lit(1)).alias("n")), "pairs")
-        for p in range(passes)
-    ]
-    start = F.xxhash64(F.lit(START))
-    total = words.filter(F.col("h") != start).agg(F.sum("n")).first()[0] or 0
-    return Counts(words, pairs, total)
-
-
-def _summed(rows: DataFrame, counts: DataFrame, value: Column, name: str) -> DataFrame:
-    return rows.join(counts.hint("shuffle_hash"), "h").groupBy("doc_id", "mark").agg(
-        F.sum(value).alias("sum"), F.count(F.lit(1)).alias("n")
-    ).select("doc_id", "mark", F.lit(name).alias("name"), "sum", "n")
-
-
-def score(docs: DataFrame, counts: Counts, counted: bool = False) -> DataFrame:
-    """doc_id, n_words and score of each row. `counted` says that `docs` is what was counted."""
-    log_n = F.log(F.col("n").cast("double"))
-    parts = []
-    for part, pairs in enumerate(counts.pairs):
-        rows = exploded_pairs(docs, part, len(counts.pairs))
-        parts.append(written(_summed(rows.select("doc_id", "mark", "h"), pairs, log_n, "pairs"), "pair-sums"))
-        if not counted:
-            unseen = rows.join(pairs, "h", "left_anti").select("doc_id", "mark", F.col("w").alias("h"))
-            known = unseen.join(counts.words, "h", "left").groupBy("doc_id", "mark").agg(
-                F.sum(F.log(F.coalesce("n", F.lit(1)).cast("double") * BACKOFF / max(counts.total, 1))).alias("sum"),
-                F.count(F.lit(1)).alias("n"),
-            )
-            parts.append(written(known.select("doc_id", "mark", F.lit("unseen").alias("name"), "sum", "n"), "unseen-sums"))
-    if counted:
-        contexts = exploded_words(docs, contexts=True)
-    else:
-        contexts = None
-        for part, pairs in enumerate(counts.pairs):
-            seen = exploded_pairs(docs, part, len(counts.pairs)).join(pairs, "h", "left_semi")
-            seen = seen.select("doc_id", "mark", F.col("v").alias("h"))
-            contexts = seen if contexts is None else contexts.union(seen)
-    parts.append(written(_summed(contexts, counts.words, -log_n, "contexts"), "context-sums"))
-    sums = parts[0]
-    for other in parts[1:]:
-        sums = sums.union(other)
-    sums = sums.groupBy("doc_id", "mark").agg(F.sum("sum").alias("sum"))
-    rows = keyed(docs, F.size(spaced_words(F.col("text"))).cast("long").alias("n_words"))
-    times = rows.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("times"), F.first("n_words").alias("n_words"))
-    each = times.join(sums, same_row(times, sums), "left").select(
-        times["doc_id"], "n_words", "times", (sums["sum"] / F.col("times") / F.col("n_words")).alias("score")
+class _Grams:
+    """The n-grams of a block: by n, the distinct ones that may be counted, and which of them starts at each place."""
+
+    def __init__(self, row: dict, answers: list[bytes], least: int, n: int) -> None:
+        text = np.frombuffer(row["text"], np.int32)
+        self.ends = np.array(row["ends"], np.int64)
+        starts = np.concatenate(([0], self.ends[:-1]))
+        left = np.repeat(self.ends, self.ends - starts) - np.arange(len(text))  # words from here to the end of the text
+        one = np.frombuffer(row["words"], np.uint64)[text]
+        self.distinct: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []  # by n, the global count at each place; 0 where there is none or too few
+        self.here: np.ndarray | None = None
+        hashes, whole = one, np.ones(len(text), bool)
+        for size in range(1, n + 1):
+            if size > 1:
+                # Both n-grams inside must be in the tables.
+                before = self.counts[-1]
+                whole = (left >= size) & (before > 0) & (np.append(before, 0)[1:] > 0)
+                hashes = _joined(hashes, np.concatenate((one[size - 1:], one[:size - 1])))  # the last places have no such n-gram
+            places = np.flatnonzero(whole)
+            values, which, counts = np.unique(hashes[places], return_inverse=True, return_counts=True)
+            self.values, self.own = values, counts
+            if size <= len(answers):
+                found = np.zeros(len(text), np.int64)
+                found[places] = np.frombuffer(answers[size - 1], np.int64)[which]
+                if size > 1:
+                    found[found < least] = 0
+                self.counts.append(found)
+
+
+def _joined(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those of their first n - 1 words and their last."""
+    x = first * np.uint64(0x9E3779B97F4A7C15) + (last ^ (last >> np.uint64(31)))
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+# --- count tables ----------------------------------------------------------------------------------
+
+
+def _with_answers(packed: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    """Blocks with the answers by n so far, in order."""
+    for n, own in enumerate(answers, 1):
+        packed = packed.join(own.select("block", F.col("counts").alias(f"answer{n}")), "block")
+    return packed
+
+
+def _asked(packed: DataFrame, answers: list[DataFrame], least: int, n: int, part_bits: int) -> DataFrame:
+    """part, block, and the hashes and counts of the block's distinct n-grams in that part."""
+    names = [f"answer{i}" for i in range(1, n)]
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                grams = _Grams(row, [row[name] for name in names], least, n)
+                cuts = np.searchsorted(grams.values, np.arange(1, 1 << part_bits, dtype=np.uint64) << np.uint64(64 - part_bits)) if part_bits else []
+                for part, (hashes, counts) in enumerate(zip(np.split(grams.values, cuts), np.split(grams.own, cuts))):
+                    if len(hashes):
+                        yield pa.RecordBatch.from_pylist([{
+                            "part": part, "block": row["block"], "hashes": hashes.tobytes(), "counts": counts.astype(np.int64).tobytes(),
+                        }], _ASKED)
+
+    rows = _with_answers(packed.select("block", "ends", "text", "words"), answers)
+    return rows.mapInArrow(asked, "part bigint, block bigint, hashes binary, counts binary")
+
+
+_ASKED = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+
+
+def _numbers(blobs: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(blob.as_py(), kind) for blob in blobs]
+
+
+def _sums(least: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda group: _summed(group, least)
+
+
+def _summed(group: pa.Table, least: int) -> pa.Table:
+    """A part of the count table (without a block), and the answers to the blocks that asked."""
+    hashes, counts = _numbers(group["hashes"], np.uint64), _numbers(group["counts"], np.int64)
+    every, which = np.unique(np.concatenate(hashes), return_inverse=True)
+    totals = np.zeros(len(every), np.int64)
+    np.add.at(totals, which, np.concatenate(counts))
+    answers = np.split(totals[which], np.cumsum([len(h) for h in hashes])[:-1])
+    often, part = totals >= least, group["part"][0].as_py()
+    rows = [{"part": part, "block": None, "hashes": every[often].tobytes(), "counts": totals[often].tobytes()}]
+    rows += [{"part": part, "block": block, "hashes": b"", "counts": a.tobytes()} for block, a in zip(group["block"].to_pylist(), answers)]
+    return pa.Table.from_pylist(rows, _ASKED)
+
+
+def _looked_up(asked: pa.Table, table: pa.Table) -> pa.Table:
+    """Answers from a part of the count table; an n-gram that it lacks has count 0."""
+    known = np.concatenate([np.zeros(0, np.uint64), *_numbers(table["hashes"], np.uint64)])
+    counts = np.concatenate([np.zeros(0, np.int64), *_numbers(table["counts"], np.int64)])
+    rows = []
+    for part, block, hashes in zip(asked["part"].to_pylist(), asked["block"].to_pylist(), _numbers(asked["hashes"], np.uint64)):
+        found = np.zeros(len(hashes), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            found = np.where(known[at] == hashes, counts[at], 0)
+        rows.append({"part": part, "block": block, "hashes": b"", "counts": found.tobytes()})
+    return pa.Table.from_pylist(rows, _ASKED)
+
+
+def _by_block(packed: DataFrame, answered: DataFrame) -> DataFrame:
+    """block and counts: the answers of all parts in the order of the hashes, for every block."""
+    parts = answered.select("block", F.struct("part", "counts").alias("own")).union(
+        packed.select("block", F.struct(F.lit(-1).cast("bigint").alias("part"), F.lit(b"").alias("counts")))
     )
-    return each.select("doc_id", "n_words", F.round("score", 6).alias("score"),
-                       F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
+    gathered = parts.groupBy("block").agg(F.sort_array(F.collect_list("own")).alias("owns"))
+    whole = F.aggregate("owns", F.lit(b""), lambda all_, own: F.concat(all_, own["counts"]))
+    return gathered.select("block", whole.alias("counts"))
+
+
+_SENT = "part bigint, block bigint, hashes binary, counts binary"
+
+
+def count(docs: DataFrame, order: int = ORDER, least: int = LEAST, block_words: int = BLOCK_WORDS, part_words: int = PART_WORDS) -> Counts:
+    """Count tables of all documents, up to n-grams of `order` words."""
+    packed = written(blocks(docs, block_words), "lm-blocks")
+    size = packed.agg(F.sum("n_words")).first()[0] or 0
+    part_bits = max(math.ceil(math.log2(max(size / part_words, 1))), 0)
+    tables, answers = [], []
+    for n in range(1, order + 1):
+        asked = _asked(packed, answers, least, n, part_bits)
+        both = written(asked.groupBy("part").applyInArrow(_sums(1 if n == 1 else least), _SENT), "lm-counts")
+        tables.append(both.filter("block is null").select("part", "hashes", "counts"))
+        answers.append(written(_by_block(packed, both.filter("block is not null")), "lm-answers"))
+    return Counts(tables, size, least, part_bits, packed, answers)
+
+
+# --- scores ----------------------------------------------------------------------------------------
+
+
+def _scored(packed: DataFrame, answers: list[DataFrame], total: int, least: int) -> DataFrame:
+    order = len(answers)
+    kind = packed.schema["ids"].dataType.elementType.simpleString()
+    names = [f"answer{i}" for i in range(1, order + 1)]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch["ids"]
+            for at, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
+                grams = _Grams(row, [row[name] for name in names], least, order)
+                ends = grams.ends
+                starts = np.concatenate(([0], ends[:-1]))
+                words = np.maximum(ends - starts - 1, 0)
+                some = words > 0
+                begin, size = starts[some], len(grams.counts[0])
+                depth = np.arange(size) - np.repeat(starts, ends - starts)  # words before, the start mark included
+                most = np.minimum(depth, order - 1)
+                logs = np.log(np.maximum(grams.counts[0], 1) / max(total, 1)) + most * math.log(BACKOFF)
+                for n in range(2, order + 1):
+                    own, context = np.zeros(size, np.int64), np.ones(size, np.int64)
+                    own[n - 1:] = grams.counts[n - 1][:max(size - n + 1, 0)]
+                    context[n - 1:] = grams.counts[n - 2][:max(size - n + 1, 0)]
+                    counted = own > 0
+                    logs[counted] = np.log(own[counted] / context[counted]) + (most[counted] - n + 1) * math.log(BACKOFF)
+                logs[begin] = 0.0  # the start mark is no word
+                scores = np.zeros(len(words))
+                if size:
+                    scores[some] = np.round(np.add.reduceat(logs, begin) / words[some], 6)
+                yield pa.RecordBatch.from_arrays(
+                    [ids[at].values, pa.array(words), pa.array(scores, mask=~some)], ["doc_id", "n_words", "score"]
+                )
+
+    rows = _with_answers(packed, answers)
+    return rows.mapInArrow(scored, f"doc_id {kind}, n_words bigint, score double")
+
+
+def score_corpus(counts: Counts) -> DataFrame:
+    """doc_id, n_words and score of each row that was counted."""
+    return _scored(counts.blocks, counts.answers, counts.total, counts.least)
+
+
+def score(docs: DataFrame, counts: Counts, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words and score of each row of any documents."""
+    packed, answers = written(blocks(docs, block_words), "lm-blocks"), []
+    for n, table in enumerate(counts.tables, 1):
+        asked = _asked(packed, answers, counts.least, n, counts.part_bits)
+        found = asked.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(_looked_up, _SENT)
+        answers.append(written(_by_block(packed, found), "lm-answers"))
+    return _scored(packed, answers, counts.total, counts.least)
