@@ -44,7 +44,9 @@ TOP = 2000
 NO_LANG = "und"
 BLOCK_WORDS = 1 << 19
 #: Distinct n-grams of one length that a merge holds at a time, about.
-PART_ENTRIES = 1 << 21
+PART_ENTRIES = 1 << 19
+#: Parts in which a language's phrases are ranked before the best of all parts are.
+RANK_PARTS = 16
 #: Leading bits by which one round of merging deals filters.
 ROUND_BITS = 8
 
@@ -384,7 +386,7 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_wo
     size, total = vocabulary.count(), words.agg(F.sum("f")).first()[0] or 0
     id_bits = max((size - 1).bit_length(), 1) if size else 1
     part_bits = max(math.ceil(math.log2(max(total / part_entries, 1))), 0)
-    filters = written(block_filters(with_ids(packed, vocabulary), id_bits, part_bits, longest), "phrase-filters")
+    filters = block_filters(with_ids(packed, vocabulary), id_bits, part_bits, longest)
     long = frequent(filters, id_bits, part_bits, least, longest)
     grams = written(long.union(vocabulary.select(F.array("id"), "f")), "phrase-counts")
     return grams, vocabulary, totals
@@ -431,8 +433,11 @@ def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, inside_pe
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda x: x["word"].cast("string")), " ").alias("phrase"),
     )
     named = kept.join(words, "ids")
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    best = named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    order = F.col("score").desc(), F.col("a").desc(), F.col("phrase")
+    # First within parts of a language, so that what meets in one task does not grow with the phrases.
+    some = Window.partitionBy("lang", F.pmod("mark", F.lit(RANK_PARTS))).orderBy(*order)
+    first = named.withColumn("rank", F.row_number().over(some)).filter(F.col("rank") <= top)
+    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     return best.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )
