@@ -33,7 +33,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from listwright.llm.base import written
+from listwright.llm.base import bucketed, written
 
 ORDER = 3
 LEAST = 2
@@ -148,7 +148,7 @@ def _joined(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 def _with_answers(packed: DataFrame, answers: list[DataFrame]) -> DataFrame:
     """Blocks with the answers by n so far, in order."""
     for n, own in enumerate(answers, 1):
-        packed = packed.join(own.select("block", F.col("counts").alias(f"answer{n}")), "block")
+        packed = packed.join(own.select("block", F.col("counts").alias(f"answer{n}")).hint("merge"), "block")
     return packed
 
 
@@ -164,7 +164,7 @@ def _asked(packed: DataFrame, answers: list[DataFrame], least: int, n: int, part
                 for part, (hashes, counts) in enumerate(zip(np.split(grams.values, cuts), np.split(grams.own, cuts))):
                     if len(hashes):
                         yield pa.RecordBatch.from_pylist([{
-                            "part": part, "block": row["block"], "hashes": hashes.tobytes(), "counts": counts.astype(np.int64).tobytes(),
+                            "part": part, "block": row["block"], "hashes": _steps(hashes), "counts": counts.astype(np.int64).tobytes(),
                         }], _ASKED)
 
     rows = _with_answers(packed.select("block", "ends", "text", "words"), answers)
@@ -174,6 +174,22 @@ def _asked(packed: DataFrame, answers: list[DataFrame], least: int, n: int, part
 _ASKED = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
 
+def _steps(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as the first and the steps between them, six bytes each where that is enough."""
+    steps = np.diff(hashes)
+    width = 6 if len(steps) and int(steps.max()) < 1 << 48 else 8
+    return hashes[:1].tobytes() + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes() + bytes([width])
+
+
+def _hashes(blob: bytes) -> np.ndarray:
+    width = blob[-1]
+    size = (len(blob) - 9) // width
+    steps = np.zeros((size + 1, 8), np.uint8)
+    steps[0] = np.frombuffer(blob, np.uint8, 8)
+    steps[1:, :width] = np.frombuffer(blob, np.uint8, size * width, 8).reshape(size, width)
+    return np.cumsum(steps.reshape(-1).view("<u8").astype(np.uint64), dtype=np.uint64)
+
+
 def _numbers(blobs: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(blob.as_py(), kind) for blob in blobs]
 
@@ -184,7 +200,7 @@ def _sums(least: int) -> Callable[[pa.Table], pa.Table]:
 
 def _summed(group: pa.Table, least: int) -> pa.Table:
     """A part of the count table (without a block), and the answers to the blocks that asked."""
-    hashes, counts = _numbers(group["hashes"], np.uint64), _numbers(group["counts"], np.int64)
+    hashes, counts = [_hashes(blob.as_py()) for blob in group["hashes"]], _numbers(group["counts"], np.int64)
     every, which = np.unique(np.concatenate(hashes), return_inverse=True)
     totals = np.zeros(len(every), np.int64)
     np.add.at(totals, which, np.concatenate(counts))
@@ -200,7 +216,8 @@ def _looked_up(asked: pa.Table, table: pa.Table) -> pa.Table:
     known = np.concatenate([np.zeros(0, np.uint64), *_numbers(table["hashes"], np.uint64)])
     counts = np.concatenate([np.zeros(0, np.int64), *_numbers(table["counts"], np.int64)])
     rows = []
-    for part, block, hashes in zip(asked["part"].to_pylist(), asked["block"].to_pylist(), _numbers(asked["hashes"], np.uint64)):
+    for part, block, hashes in zip(asked["part"].to_pylist(), asked["block"].to_pylist(), asked["hashes"]):
+        hashes = _hashes(hashes.as_py())
         found = np.zeros(len(hashes), np.int64)
         if len(known):
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
@@ -224,7 +241,7 @@ _SENT = "part bigint, block bigint, hashes binary, counts binary"
 
 def count(docs: DataFrame, order: int = ORDER, least: int = LEAST, block_words: int = BLOCK_WORDS, part_words: int = PART_WORDS) -> Counts:
     """Count tables of all documents, up to n-grams of `order` words."""
-    packed = written(blocks(docs, block_words), "lm-blocks")
+    packed = bucketed(blocks(docs, block_words), "lm-blocks", "block")
     size = packed.agg(F.sum("n_words")).first()[0] or 0
     part_bits = max(math.ceil(math.log2(max(size / part_words, 1))), 0)
     tables, answers = [], []
@@ -282,7 +299,7 @@ def score_corpus(counts: Counts) -> DataFrame:
 
 def score(docs: DataFrame, counts: Counts, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words and score of each row of any documents."""
-    packed, answers = written(blocks(docs, block_words), "lm-blocks"), []
+    packed, answers = bucketed(blocks(docs, block_words), "lm-blocks", "block"), []
     for n, table in enumerate(counts.tables, 1):
         asked = _asked(packed, answers, counts.least, n, counts.part_bits)
         found = asked.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(_looked_up, _SENT)

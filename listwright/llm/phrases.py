@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from listwright.llm.base import written
+from listwright.llm.base import bucketed, written
 
 LONGEST = 4
 LEAST = 30
@@ -48,7 +48,7 @@ PART_ENTRIES = 1 << 19
 #: Parts in which a language's phrases are ranked before the best of all parts are.
 RANK_PARTS = 16
 #: Leading bits by which one round of merging deals filters.
-ROUND_BITS = 8
+ROUND_BITS = 10
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _SEPARATORS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(_SEPARATORS))
@@ -134,13 +134,12 @@ def numbered(words: DataFrame, parts: int = 1024) -> DataFrame:
     )
 
 
-def with_ids(packed: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """block, text, and ids: by place in the block's words, their ids."""
+def block_ids(packed: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """block, places and ids: by place in the block's words, the ids of those in the vocabulary."""
     words = packed.select("block", "lang", F.posexplode("words").alias("place", "word"))
-    known = words.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(
+    return words.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(
         F.collect_list("place").alias("places"), F.collect_list("id").alias("ids")
     )
-    return packed.select("block", "text").join(known, "block").select("text", "places", "ids")
 
 
 # --- packed n-grams and their permutation ----------------------------------------------------------
@@ -379,14 +378,16 @@ def frequent(filters: DataFrame, id_bits: int, part_bits: int, least: int = LEAS
 def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_words: int = BLOCK_WORDS,
            part_entries: int = PART_ENTRIES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Frequent n-grams (ids, f), the vocabulary (lang, word, f, id) and the words of each language (lang, n)."""
-    packed = written(blocks(docs, block_words), "phrase-blocks")
+    packed = bucketed(blocks(docs, block_words), "phrase-blocks", "block")
     words = written(word_counts(packed), "phrase-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     vocabulary = written(numbered(words.filter(F.col("f") >= least)), "phrase-vocabulary")
     size, total = vocabulary.count(), words.agg(F.sum("f")).first()[0] or 0
     id_bits = max((size - 1).bit_length(), 1) if size else 1
     part_bits = max(math.ceil(math.log2(max(total / part_entries, 1))), 0)
-    filters = block_filters(with_ids(packed, vocabulary), id_bits, part_bits, longest)
+    known = written(block_ids(packed, vocabulary), "phrase-ids")
+    encoded = packed.select("block", "text").join(known.hint("merge"), "block")
+    filters = block_filters(encoded, id_bits, part_bits, longest)
     long = frequent(filters, id_bits, part_bits, least, longest)
     grams = written(long.union(vocabulary.select(F.array("id"), "f")), "phrase-counts")
     return grams, vocabulary, totals

@@ -72,7 +72,7 @@ def test_several_rounds_of_merging_give_the_same_counts(spark, monkeypatch):
     words = phrases.word_counts(packed)
     vocabulary = phrases.numbered(words.filter("f >= 5"))
     bits = max((vocabulary.count() - 1).bit_length(), 1)
-    encoded = phrases.with_ids(packed, vocabulary)
+    encoded = packed.join(phrases.block_ids(packed, vocabulary), "block")
     counts = [
         sorted((tuple(r["ids"]), r["f"]) for r in phrases.frequent(
             phrases.block_filters(encoded, bits, part_bits), bits, part_bits, 5).collect())
