@@ -375,6 +375,7 @@ SIGHTING = merge.MergeSpec(
     keys=("event_type", "user_id"),
     frozen=("first_value", "fingerprint"),
     mutable=("value", "props", "seen_at"),
+    late=("props",),
 )
 # Events before this moment are the stored state, the rest is the batch that is merged into it.
 BATCH_START = "2024-01-16"
@@ -446,6 +447,25 @@ SELECT CAST(sum(seen) AS BIGINT) AS total_seen, count(*) FILTER (NOT known AND s
 FROM per_key
 """)
 def upsert_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted while the merged state is written."""
+    stored, batch = _state_and_batch(spark, sf_dir)
+    merged, counted = merge.upsert_counted(stored, batch, SIGHTING)
+    merged.write.parquet(scratch_dir(spark, "merged"))
+    names = ("total_seen", "inserted", "updated")
+    return spark.createDataFrame([tuple(counted.get[c] for c in names)], ", ".join(f"{c} bigint" for c in names))
+
+
+@query("upsert_key_stats", f"""
+WITH per_key AS (
+  SELECT event_type, user_id, bool_or(ts < TIMESTAMP '{BATCH_START}') AS known,
+    count(*) FILTER (ts >= TIMESTAMP '{BATCH_START}') AS seen
+  FROM events GROUP BY event_type, user_id)
+SELECT CAST(sum(seen) AS BIGINT) AS total_seen, count(*) FILTER (NOT known AND seen > 0) AS inserted,
+  CAST(sum(seen) - count(*) FILTER (NOT known AND seen > 0) AS BIGINT) AS updated
+FROM per_key
+""")
+def upsert_key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts before anything is merged, from keys alone."""
     stored, batch = _state_and_batch(spark, sf_dir)
     return merge.merge_stats(stored, batch, SIGHTING.keys)
 

@@ -7,14 +7,21 @@ aggregates, so
 * folding state with a batch is the same operation as folding the batch itself,
 * the fold is associative over ordered batches, and does not depend on partitioning,
 * a key that holds a large share of all rows is reduced to one row per task before the exchange.
+
+Wide mutable columns can be named `late`: they stay out of the aggregate, which then sorts and ships
+narrow rows only, and are fetched afterwards by key and last sequence. That join is dealt by both, so
+the rows of a hot key spread over all tasks. It needs what arrival order gives anyway: a key has no
+two rows with one sequence.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from listwright import schemas
 
@@ -24,6 +31,7 @@ class MergeSpec:
     keys: tuple[str, ...]
     frozen: tuple[str, ...]
     mutable: tuple[str, ...]
+    late: tuple[str, ...] = ()
 
     def only(self, columns: Iterable[str] | None) -> MergeSpec:
         """The same merge carrying fewer columns, so a reader does not fold what it drops."""
@@ -34,6 +42,7 @@ class MergeSpec:
             self.keys,
             tuple(c for c in self.frozen if c in wanted),
             tuple(c for c in self.mutable if c in wanted),
+            tuple(c for c in self.late if c in wanted),
         )
 
 
@@ -44,6 +53,7 @@ JOBS_MERGE = MergeSpec(
         "title", "locations", "url", "ats_provider", "ats_token", "season", "category", "degrees",
         "sponsorship", "active", "posted_at", "updated_at", "raw_payload", "last_seen_at",
     ),
+    late=("raw_payload",),
 )
 
 
@@ -57,19 +67,38 @@ def sightings(rows: DataFrame, spec: MergeSpec, seq: Column) -> DataFrame:
 
 def fold(rows: DataFrame, spec: MergeSpec) -> DataFrame:
     """Fold rows in state shape (state, sightings or both) to one row per key."""
-    aggregates = [F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq")]
+    return _with_late(_folded(rows, spec), rows, spec)
+
+
+def _folded(rows: DataFrame, spec: MergeSpec, *more: Column) -> DataFrame:
+    """The fold without its late columns, and more aggregates."""
+    early = [c for c in spec.mutable if c not in spec.late]
+    aggregates = [F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"), *more]
     if spec.frozen:
         aggregates.append(F.min_by(F.struct(*spec.frozen), "first_seq").alias("_frozen"))
-    if spec.mutable:
-        aggregates.append(F.max_by(F.struct(*spec.mutable), "last_seq").alias("_mutable"))
-    return rows.groupBy(*spec.keys).agg(*aggregates).select(
+    if early:
+        aggregates.append(F.max_by(F.struct(*early), "last_seq").alias("_mutable"))
+    folded = rows.groupBy(*spec.keys).agg(*aggregates)
+    return folded.select(
         *spec.keys,
         *(F.col(f"_frozen.{c}").alias(c) for c in spec.frozen),
-        *(F.col(f"_mutable.{c}").alias(c) for c in spec.mutable),
-        "first_seq", "last_seq",
+        *(F.col(f"_mutable.{c}").alias(c) for c in early),
+        *(c for c in folded.columns if c not in (*spec.keys, "_frozen", "_mutable")),
     )
 
 
+def _with_late(folded: DataFrame, rows: DataFrame, spec: MergeSpec) -> DataFrame:
+    """Late columns from the row of each key that was seen last."""
+    more = [c for c in folded.columns if c not in (*spec.keys, *spec.frozen, *spec.mutable, "first_seq", "last_seq")]
+    if spec.late:
+        wide = rows.select(
+            *(F.col(c).alias(f"_{c}") for c in (*spec.keys, "last_seq")), *spec.late
+        )
+        same = reduce(and_, (folded[c].eqNullSafe(wide[f"_{c}"]) for c in (*spec.keys, "last_seq")))
+        folded = folded.join(wide, same)
+    return folded.select(*spec.keys, *spec.frozen, *spec.mutable, "first_seq", "last_seq", *more)
+
+
 def upsert(state: DataFrame, batch: DataFrame, spec: MergeSpec) -> DataFrame:
     """New state after a batch, both in state shape."""
     return fold(state.unionByName(batch), spec)
@@ -127,24 +156,31 @@ def fold_companies(rows: DataFrame, columns: Iterable[str] | None = None) -> Dat
     ).select(*(columns or schemas.COMPANIES.fieldNames()))
 
 
+def upsert_counted(state: DataFrame, batch: DataFrame, spec: MergeSpec) -> tuple[DataFrame, Observation]:
+    """New state after a batch; writing it also counts total_seen, inserted and updated.
+
+    A marker tells rows of the state from those of the batch, so the fold's own pass knows for each
+    key how often the batch has it and whether the state had it. Nothing is read a second time.
+    """
+    marked = state.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
+    folded = _folded(marked, spec, F.sum("_new").alias("_seen"), F.min("_new").alias("_unknown"))
+    counted, zero = Observation(), F.lit(0).cast("bigint")
+    seen = F.coalesce(F.sum("_seen"), zero)
+    inserted = F.count_if(F.col("_unknown") == 1)
+    observed = folded.observe(
+        counted, seen.alias("total_seen"), inserted.alias("inserted"), (seen - inserted).alias("updated")
+    ).drop("_seen", "_unknown")
+    return _with_late(observed, marked, spec), counted
+
+
 def merge_stats(state: DataFrame, batch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """total_seen, inserted, updated of a batch of sightings against the state before it.
 
-    Every sighting after a key's first one is an update, whether or not it changed anything. The
-    batch is reduced to one row per key before it meets the state, and of the state only the keys
-    are read; a batch small enough to be broadcast leaves the state where it is.
+    Every sighting after a key's first one is an update, whether or not it changed anything. Keys of
+    both, with a marker, are counted in one pass; no other column is read.
     """
-    per_key = batch.groupBy(*keys).agg(F.count("*").alias("_seen"))
-    known = state.select(*keys).join(per_key.select(*keys), list(keys), "left_semi").distinct()
-    zero = F.lit(0).cast("bigint")
-    counts = per_key.agg(
-        F.coalesce(F.sum("_seen"), zero).alias("total_seen"), F.count("*").alias("keys"),
-        zero.alias("known"),
-    ).unionByName(
-        known.agg(zero.alias("total_seen"), zero.alias("keys"), F.count("*").alias("known"))
-    )
-    inserted = F.sum("keys") - F.sum("known")
-    return counts.agg(
-        F.sum("total_seen").alias("total_seen"), inserted.alias("inserted"),
-        (F.sum("total_seen") - inserted).alias("updated"),
-    )
+    marked = state.select(*keys, F.lit(0).alias("_new")).unionByName(batch.select(*keys, F.lit(1).alias("_new")))
+    per_key = marked.groupBy(*keys).agg(F.sum("_new").alias("_seen"), F.min("_new").alias("_unknown"))
+    seen = F.coalesce(F.sum("_seen"), F.lit(0).cast("bigint"))
+    inserted = F.count_if(F.col("_unknown") == 1)
+    return per_key.agg(seen.alias("total_seen"), inserted.alias("inserted"), (seen - inserted).alias("updated"))

@@ -37,6 +37,21 @@ def score_view(scores: DataFrame, jobs: DataFrame, companies: DataFrame) -> Data
     )
 
 
+def bucketed_view(scores: DataFrame, jobs: DataFrame, companies: DataFrame) -> DataFrame:
+    """`score_view` of scores and listings that are tables bucketed by listing.
+
+    Scores meet their listing bucket by bucket, so neither moves; what is joined then moves by company,
+    unless the companies are small enough to be broadcast.
+    """
+    listings = jobs.select("job_id", "company_id", "title", "locations", "url").hint("merge")
+    names = companies.select("company_id", F.col("name").alias("company"), "ats_provider")
+    scored = scores.select(
+        "job_id", "profile_version", "resume_version", F.col("qualification_score").alias("q_score"), "fit_score",
+        "summary", "tier", "created_at",
+    )
+    return scored.join(listings, "job_id").join(names, "company_id")
+
+
 def review_columns(view: DataFrame) -> DataFrame:
     """Display columns: joined locations, provider and summary defaults, combined score."""
     locations = F.when(
