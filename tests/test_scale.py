@@ -171,7 +171,8 @@ def test_slices_arrive_in_order_and_dedup_state_shrinks(spark, tmp_path):
     frame = spark.createDataFrame(data, "fingerprint string, t int")
     assert land_in_slices(frame, F.floor(F.col("t") / 1000), str(tmp_path / "in")) == 7
     stream = read_slices(spark, str(tmp_path / "in"), frame.schema)
-    once = stream_dedup(stream, "1500 seconds", F.timestamp_seconds("t")).select("fingerprint", "t")
+    # Not at 0, where the first watermark is.
+    once = stream_dedup(stream, "1500 seconds", F.timestamp_seconds(F.col("t") + 100_000)).select("fingerprint", "t")
     query = once.writeStream.format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     progress = [p for p in query.recentProgress if p["numInputRows"]]
