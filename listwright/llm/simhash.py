@@ -224,14 +224,24 @@ def links(nodes: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataF
     )
 
 
+def _with_lowest(edges: DataFrame, lowest: DataFrame) -> DataFrame:
+    """Edges with the lowest neighbour of their a.
+
+    Joined by a's inverted bits, not by a: both sides are then dealt for this join alone, and a node with
+    a large part of all edges can be split between tasks.
+    """
+    key, = fresh(edges, "key")
+    near = lowest.select(F.bitwise_not("a").alias(key), "low")
+    return edges.withColumn(key, F.bitwise_not("a")).join(near, key).drop(key)
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """One large and one small star over edges (a, b), a above b."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     lowest = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
-    large = both.filter("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    large = _with_lowest(both.filter("b > a"), lowest).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
     large = written(large, "large-star")
-    lowest = large.groupBy("a").agg(F.min("b").alias("low"))
-    moved = large.join(lowest, "a")
+    moved = _with_lowest(large, large.groupBy("a").agg(F.min("b").alias("low")))
     small = moved.select("a", F.col("low").alias("b")).union(
         moved.filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     )
