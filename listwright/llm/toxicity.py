@@ -80,8 +80,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
         chosen = own if chosen is None else chosen.union(own)
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
     # at most 2 * per_class rows of two numbers
-    return docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select(
-        docs["text"], F.col("_toxic").cast("int").alias("toxic")
+    texts = docs.select("doc_id", "text")
+    return texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["_id"]).select(
+        "text", F.col("_toxic").cast("int").alias("toxic")
     ).dropDuplicates()
 
 

@@ -58,3 +58,17 @@ def test_labels_that_say_nothing(spark):
         model = toxicity.train(docs, spark.createDataFrame(rows, LABELS))
         assert not any(g["toxic"] for g in grades(spark, model, ["a b", None, "idle"]))
     assert docs.limit(0).select(toxicity.graded(F.col("text"), model)).count() == 0
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    rows = [(i, ("you awful idiot " if i % 2 else "a calm day ") * (40_000 if i < 2 else 1)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    odd = docs
+    for name in ("_toxic", "_id", "toxic", "feature", "clean"):
+        odd = odd.withColumn(name, F.lit(1))
+    again = toxicity.train(odd, labels)
+    found = odd.select("doc_id", toxicity.graded(F.col("text"), again).alias("found")).collect()
+    expected = docs.select("doc_id", toxicity.graded(F.col("text"), model).alias("found")).collect()
+    assert [tuple(r) for r in found] == [tuple(r) for r in expected]
