@@ -39,7 +39,7 @@ ORDER = 3
 LEAST = 2
 BACKOFF = 0.4
 BLOCK_WORDS = 1 << 19
-PART_WORDS = 1 << 22
+PART_WORDS = 1 << 20
 START = b"\x02 start"  # no word holds a blank
 
 
@@ -202,8 +202,7 @@ def _summed(group: pa.Table, least: int) -> pa.Table:
     """A part of the count table (without a block), and the answers to the blocks that asked."""
     hashes, counts = [_hashes(blob.as_py()) for blob in group["hashes"]], _numbers(group["counts"], np.int64)
     every, which = np.unique(np.concatenate(hashes), return_inverse=True)
-    totals = np.zeros(len(every), np.int64)
-    np.add.at(totals, which, np.concatenate(counts))
+    totals = np.bincount(which, np.concatenate(counts), len(every)).astype(np.int64)  # exact up to 2^53
     answers = np.split(totals[which], np.cumsum([len(h) for h in hashes])[:-1])
     often, part = totals >= least, group["part"][0].as_py()
     rows = [{"part": part, "block": None, "hashes": every[often].tobytes(), "counts": totals[often].tobytes()}]
