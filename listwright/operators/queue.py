@@ -10,6 +10,7 @@ from listwright.fixed_values import (
 from listwright.functions import text as tx
 from listwright.functions.rules import TierRules
 from listwright.operators.tiering import DEFAULT_RULES, in_tiers, with_tier
+from listwright.sources.scratch import scratch_dir
 
 # What the queue needs of a job.
 QUEUE_COLUMNS = (
@@ -90,13 +91,21 @@ def build_queue(
 
 
 def preview(queue: DataFrame, rows: int = QUEUE_PREVIEW_ROWS) -> DataFrame:
-    """The first rows of the queue with its size and how many rows are not shown."""
-    size = queue.agg(F.count("*").alias("n")).scalar()
-    return (
-        queue.orderBy(*newest_first()).limit(rows)
-        .withColumn("queue_size", size)
-        .withColumn("not_shown", F.greatest(F.col("queue_size") - rows, F.lit(0)))
+    """The first rows of the queue with its size and how many rows are not shown.
+
+    The queue is planned and run once, into the shared folder; rows and size are read from there. An
+    empty queue shows one row without a listing, with its size 0.
+    """
+    spark = queue.sparkSession
+    path = scratch_dir(spark, "preview")
+    queue.write.parquet(path)
+    planned = spark.read.schema(queue.schema).parquet(path)
+    size = planned.agg(F.count("*").alias("queue_size"))
+    first = planned.orderBy(*newest_first()).limit(rows).withColumn("queue_size", size.scalar())
+    empty = size.filter("queue_size = 0").select(
+        *(F.lit(None).cast(field.dataType).alias(field.name) for field in queue.schema.fields), "queue_size"
     )
+    return first.union(empty).withColumn("not_shown", F.greatest(F.col("queue_size") - rows, F.lit(0)))
 
 
 def depth(queue: DataFrame) -> DataFrame:
