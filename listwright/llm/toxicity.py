@@ -72,17 +72,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """text and toxic (0 or 1) of the sampled documents."""
-    by_id = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """text, toxic (0 or 1) and grade of the sampled documents; the grade is null where labels have none."""
+    own_grade = F.col("grade").cast("int") if "grade" in labels.columns else F.lit(None).cast("int")
+    toxic = F.when(own_grade.isNotNull(), (own_grade > 0).cast("int")).otherwise(F.col("toxic").cast("int"))
+    judged = labels.select("doc_id", toxic.alias("toxic"), own_grade.alias("grade"))
+    by_id = judged.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic"), F.max("grade").alias("grade")
+    )
     chosen = None
     for value in (0, 1):
         own = by_id.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = own if chosen is None else chosen.union(own)
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
-    # at most 2 * per_class rows of two numbers
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"), F.col("grade").alias("_grade"))
+    # at most 2 * per_class rows of three numbers
     texts = docs.select("doc_id", "text")
     return texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["_id"]).select(
-        "text", F.col("_toxic").cast("int").alias("toxic")
+        "text", F.col("_toxic").alias("toxic"), F.col("_grade").alias("grade")
     ).dropDuplicates()
 
 
@@ -171,6 +176,8 @@ def fit_ordinal(rows: list[tuple[tuple[int, ...], int, int]], n_features: int, s
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
           max_features: int = MAX_FEATURES) -> Model:
+    """The model, fitted on the sampled documents. Labels that have a `grade` (0 is clean) give the grades
+    to learn; for the others, whose `toxic` says only yes or no, grades are made from the text."""
     sample = labelled_sample(docs, labels, per_class)
     names = chosen_features(sample, max_features)
     nothing = Model({}, np.zeros(0), np.full(GRADES - 1, 20.0))
@@ -183,7 +190,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
             found = [model.active(t) for t in part["text"]]
             yield pd.DataFrame({
                 "features": [sorted(f) for f, _ in found],
-                "grade": [_grade(t, n) for t, (_, n) in zip(part["toxic"], found)],
+                "grade": [
+                    _grade(t, n) if pd.isna(own) else min(max(int(own), 0), GRADES - 1)
+                    for t, own, (_, n) in zip(part["toxic"], part["grade"], found)
+                ],
             })
 
     grouped = sample.mapInPandas(rows, "features array<int>, grade int").groupBy("features", "grade").count()

@@ -72,3 +72,54 @@ def test_clashing_columns_and_very_long_texts(spark):
     found = odd.select("doc_id", toxicity.graded(F.col("text"), again).alias("found")).collect()
     expected = docs.select("doc_id", toxicity.graded(F.col("text"), model).alias("found")).collect()
     assert [tuple(r) for r in found] == [tuple(r) for r in expected]
+
+
+def test_given_grades_are_learned(spark):
+    """Grades that do not follow from the number of toxic words: one word says how severe a text is."""
+    rng = random.Random(9)
+    calm, severe = [f"calm{i}" for i in range(50)], {1: "grumble", 2: "insultus", 3: "threatum"}
+
+    def text(grade):
+        words = rng.choices(calm, k=20)
+        if grade:
+            words[rng.randrange(20)] = severe[grade]
+        return " ".join(words)
+
+    grades = [i % 4 for i in range(800)]
+    rows = [(i, text(g)) for i, g in enumerate(grades)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None, g) for i, g in enumerate(grades[:400])], "doc_id long, toxic int, grade int")
+    model = toxicity.train(docs, labels)
+    held = [(g, *model_row) for g, model_row in zip(
+        grades[400:], [tuple(r["found"]) for r in docs.filter("doc_id >= 400").orderBy("doc_id").select(
+            toxicity.graded(F.col("text"), model).alias("found")).collect()])]
+    assert all(toxic == (g > 0) for g, _, _, toxic in held)
+    means = [np.mean([severity for g, severity, _, _ in held if g == k]) for k in range(4)]
+    assert means == sorted(means) and means[3] - means[1] > 0.8
+
+
+def test_the_fit_is_a_maximum_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    rows, true = [], np.array([2.0, -1.0, 0.5])
+    for features in [(), (0,), (1,), (2,), (0, 2), (0, 1)]:
+        for grade in range(4):
+            rows.append((features, grade, int(rng.integers(1, 30) * np.exp(0.3 * grade * true[list(features)].sum())) + 1))
+    weights, thresholds = toxicity.fit_ordinal(rows, 3, steps=4000, penalty=0.0)
+
+    def loss(w, t):
+        counts = np.array([r[2] for r in rows], float)
+        grades = np.array([r[1] for r in rows])
+        for side in (grades == 0, grades > 0):
+            counts[side] /= counts[side].sum()
+        total = 0.0
+        for (features, grade, _), n in zip(rows, counts):
+            above = np.concatenate(([1.0], 1 / (1 + np.exp(-(w[list(features)].sum() - t))), [0.0]))
+            total -= n * np.log(above[grade] - above[grade + 1])
+        return total / counts.sum()
+
+    best = loss(weights, thresholds)
+    for i in range(6):
+        for step in (-0.05, 0.05):
+            w, t = weights.copy(), thresholds.copy()
+            (w if i < 3 else t)[i % 3] += step
+            assert loss(w, t) > best - 1e-6
