@@ -62,7 +62,7 @@ SELECT {_TOP_COLUMNS}, combined FROM review WHERE tier = 'named_target'
 QUALIFY row_number() OVER (PARTITION BY company ORDER BY {_TOTAL_ORDER}) = 1
 """)
 def best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.best_per_company(frame(spark, sf_dir)).select(*_TOP, "combined")
+    return review.best_listings(*_star(spark, sf_dir)).select(*_TOP, "combined")
 
 
 @query("kpi_counts", f"""

@@ -151,6 +151,27 @@ def best_per_company(
     ).orderBy(F.desc("combined"), F.asc("company"))
 
 
+def best_listings(
+    scores: DataFrame, jobs: DataFrame, companies: DataFrame, tier: str = TIER_NAMED,
+    key: Sequence[str] = SCORE_KEY_COLUMNS,
+) -> DataFrame:
+    """`best_per_company` of the review frame, which is made for the chosen scores only.
+
+    Companies are ranked on keys and scores alone: the aggregate holds no titles, places or summaries.
+    Needs what the score table has, one row per key.
+    """
+    spelled = jobs.select("job_id", "company_id").join(
+        companies.select("company_id", F.col("name").alias("company")), "company_id"
+    )
+    combined = F.col("qualification_score") + F.col("fit_score")
+    ranked = scores.filter(F.col("tier") == tier).select(*key, combined.alias("_combined")).join(spelled, "job_id")
+    best = ranked.groupBy("company").agg(
+        F.min(F.struct((-F.col("_combined")).alias("_score"), *key)).alias("_best")
+    ).select(*(F.col(f"_best.{c}").alias(c) for c in key))
+    chosen = scores.join(best, list(key), "left_semi")
+    return review_columns(score_view(chosen, jobs, companies)).orderBy(F.desc("combined"), F.asc("company"))
+
+
 def kpis(jobs: DataFrame, scores: DataFrame) -> DataFrame:
     """Total and active listings, number of scores, time of the latest score, in one row."""
     per_jobs = jobs.agg(

@@ -226,3 +226,19 @@ def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path, dies_at):
 def test_slices_of_an_empty_table(spark):
     frame = spark.createDataFrame([], "v bigint")
     assert frame.select(first_slice_of(frame, "v", 4).alias("s")).count() == 0
+
+
+def test_best_listings_are_ranked_on_narrow_rows(spark):
+    rng = random.Random(11)
+    jobs = spark.createDataFrame([(i, i % 4, f"t{i}", ["x"] * (i % 3), "u") for i in range(30)],
+                                 "job_id int, company_id int, title string, locations array<string>, url string")
+    companies = spark.createDataFrame([(0, "A", "g"), (1, "B", None), (2, "A", ""), (3, None, "l")], "company_id int, name string, ats_provider string")
+    scores = spark.createDataFrame(
+        [(rng.randrange(32), f"p{i % 2}", f"r{i}", rng.choice([10, 20]), rng.choice([1, 2]), rng.choice([None, "s"]),
+          rng.choice(["named_target", "skip"]), i) for i in range(90)],
+        "job_id int, profile_version string, resume_version string, qualification_score int, fit_score int, summary string, tier string, created_at int")
+    found = review.best_listings(scores, jobs, companies)
+    whole = review.best_per_company(review.review_columns(review.score_view(scores, jobs, companies)))
+    assert [r.asDict() for r in found.collect()] == [r.asDict() for r in whole.select(*found.columns).collect()]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and ("title" in line or "summary" in line)]
