@@ -33,16 +33,29 @@ def stage(store: Store, raw: DataFrame, batch_id: int) -> Part:
 
 
 def stage_feeds(store: Store, registry: Sequence[Feed], batch_id: int) -> list[Part]:
-    """Each feed staged by itself: one that cannot be read to its end leaves a failure marker."""
+    """Each feed staged by itself: one that cannot be read to its end leaves a failure marker.
+
+    A failure of the store is not the feed's: where the feed can be read after all, the error stands.
+    """
     parts = []
     for ordinal, feed in enumerate(registry):
         try:
             parts.append(stage(store, read_feed(store.spark, feed, ordinal), batch_id))
         except Exception:  # whatever reading raises must not stop the other feeds
+            if _readable(store, feed, ordinal):
+                raise
             parts.append(stage(store, failed_feed(store.spark, feed, ordinal), batch_id))
     return parts
 
 
+def _readable(store: Store, feed: Feed, ordinal: int) -> bool:
+    try:
+        read_feed(store.spark, feed, ordinal).write.format("noop").mode("overwrite").save()
+    except Exception:  # as above
+        return False
+    return True
+
+
 def _staged(store: Store, parts: Sequence[Part], verdict: str) -> DataFrame:
     return store.read_parts(parts, schemas.STAGED).filter(F.col("verdict") == verdict)
 

@@ -206,3 +206,15 @@ def test_reader_keeps_its_version(world):
     pl.pull(store, feeds, DAY2)
     assert store.read("jobs", then).filter(F.col("source_id") == "9").count() == 0
     assert store.read("jobs").filter(F.col("source_id") == "9").count() == 1
+
+
+def test_a_failing_store_is_not_the_feeds_fault(world, monkeypatch):
+    _, feeds, store = world
+    base = store.initialize()
+
+    def fail(*_):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(store, "write_part", fail)
+    with pytest.raises(OSError, match="disk full"):
+        pl.stage_feeds(store, feeds, base.version + 1)
