@@ -10,7 +10,7 @@ logarithm over its words, so texts of all lengths compare.
 Documents are packed into blocks: word numbers, the words' hashes, and where each text ends. For
 each n, a block sends the hashes of its distinct n-grams with their counts, packed by leading bits
 (the part), one row for each part. All that blocks send to a part is summed, which gives that part of
-the count table (`hashes`, `counts`) and, joined with what each block asked, the block's answer.
+the count table (packed hashes and counts) and, joined with what each block asked, the block's answer.
 Answers come back by block and are summed per document. A hot n-gram is one number of each block. As an n-gram is never more frequent than those inside it, a block asks only for n-grams
 whose own parts are in the tables; so no disk is spent on words that back off anyway.
 
@@ -33,7 +33,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from listwright.llm.base import bucketed, written
+from listwright.llm.base import bucketed, remove, shared_path, shuffles_dropped, written
 
 ORDER = 3
 LEAST = 2
@@ -128,7 +128,7 @@ class _Grams:
             self.values, self.own = values, counts
             if size <= len(answers):
                 found = np.zeros(len(text), np.int64)
-                found[places] = np.frombuffer(answers[size - 1], np.int64)[which]
+                found[places] = _counts(answers[size - 1])[which]
                 if size > 1:
                     found[found < least] = 0
                 self.counts.append(found)
@@ -157,15 +157,15 @@ def _asked(packed: DataFrame, answers: list[DataFrame], least: int, n: int, part
     names = [f"answer{i}" for i in range(1, n)]
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                grams = _Grams(row, [row[name] for name in names], least, n)
-                cuts = np.searchsorted(grams.values, np.arange(1, 1 << part_bits, dtype=np.uint64) << np.uint64(64 - part_bits)) if part_bits else []
-                for part, (hashes, counts) in enumerate(zip(np.split(grams.values, cuts), np.split(grams.own, cuts))):
-                    if len(hashes):
-                        yield pa.RecordBatch.from_pylist([{
-                            "part": part, "block": row["block"], "hashes": _steps(hashes), "counts": counts.astype(np.int64).tobytes(),
-                        }], _ASKED)
+        for row in _rows(batches):
+            grams = _Grams(row, [row[name] for name in names], least, n)
+            starts = np.arange(1, 1 << part_bits, dtype=np.uint64) << np.uint64(64 - part_bits) if part_bits else []
+            cuts = np.searchsorted(grams.values, starts)
+            for part, (hashes, counts) in enumerate(zip(np.split(grams.values, cuts), np.split(grams.own, cuts))):
+                if len(hashes):
+                    yield pa.RecordBatch.from_pylist([{
+                        "part": part, "block": row["block"], "hashes": _steps(hashes), "counts": _bytes(counts),
+                    }], _ASKED)
 
     rows = _with_answers(packed.select("block", "ends", "text", "words"), answers)
     return rows.mapInArrow(asked, "part bigint, block bigint, hashes binary, counts binary")
@@ -190,8 +190,32 @@ def _hashes(blob: bytes) -> np.ndarray:
     return np.cumsum(steps.reshape(-1).view("<u8").astype(np.uint64), dtype=np.uint64)
 
 
-def _numbers(blobs: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
-    return [np.frombuffer(blob.as_py(), kind) for blob in blobs]
+def _bytes(counts: np.ndarray) -> bytes:
+    """Counts in a byte each, those from 255 in eight more at the end; chunks can follow one another."""
+    large = counts[counts >= 255].astype(np.int64)
+    return np.array([len(counts)], np.int64).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes()
+
+
+def _counts(blob: bytes) -> np.ndarray:
+    found, at = [np.zeros(0, np.int64)], 0
+    while at < len(blob):
+        size = int(np.frombuffer(blob, np.int64, 1, at)[0])
+        own = np.frombuffer(blob, np.uint8, size, at + 8).astype(np.int64)
+        at += 8 + size
+        large = own == 255
+        m = int(large.sum())
+        if m:
+            own[large] = np.frombuffer(blob, np.int64, m, at)
+            at += 8 * m
+        found.append(own)
+    return np.concatenate(found)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row of blocks at a time, as they are large."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            yield batch.slice(n, 1).to_pylist()[0]
 
 
 def _sums(least: int) -> Callable[[pa.Table], pa.Table]:
@@ -200,20 +224,21 @@ def _sums(least: int) -> Callable[[pa.Table], pa.Table]:
 
 def _summed(group: pa.Table, least: int) -> pa.Table:
     """A part of the count table (without a block), and the answers to the blocks that asked."""
-    hashes, counts = [_hashes(blob.as_py()) for blob in group["hashes"]], _numbers(group["counts"], np.int64)
+    hashes = [_hashes(blob.as_py()) for blob in group["hashes"]]
+    counts = [_counts(blob.as_py()) for blob in group["counts"]]
     every, which = np.unique(np.concatenate(hashes), return_inverse=True)
     totals = np.bincount(which, np.concatenate(counts), len(every)).astype(np.int64)  # exact up to 2^53
     answers = np.split(totals[which], np.cumsum([len(h) for h in hashes])[:-1])
     often, part = totals >= least, group["part"][0].as_py()
-    rows = [{"part": part, "block": None, "hashes": every[often].tobytes(), "counts": totals[often].tobytes()}]
-    rows += [{"part": part, "block": block, "hashes": b"", "counts": a.tobytes()} for block, a in zip(group["block"].to_pylist(), answers)]
+    rows = [{"part": part, "block": None, "hashes": _steps(every[often]) if often.any() else b"", "counts": _bytes(totals[often])}]
+    rows += [{"part": part, "block": block, "hashes": b"", "counts": _bytes(a)} for block, a in zip(group["block"].to_pylist(), answers)]
     return pa.Table.from_pylist(rows, _ASKED)
 
 
 def _looked_up(asked: pa.Table, table: pa.Table) -> pa.Table:
     """Answers from a part of the count table; an n-gram that it lacks has count 0."""
-    known = np.concatenate([np.zeros(0, np.uint64), *_numbers(table["hashes"], np.uint64)])
-    counts = np.concatenate([np.zeros(0, np.int64), *_numbers(table["counts"], np.int64)])
+    known = np.concatenate([np.zeros(0, np.uint64), *(_hashes(blob.as_py()) for blob in table["hashes"] if len(blob.as_py()))])
+    counts = np.concatenate([np.zeros(0, np.int64), *(_counts(blob.as_py()) for blob in table["counts"])])
     rows = []
     for part, block, hashes in zip(asked["part"].to_pylist(), asked["block"].to_pylist(), asked["hashes"]):
         hashes = _hashes(hashes.as_py())
@@ -221,7 +246,7 @@ def _looked_up(asked: pa.Table, table: pa.Table) -> pa.Table:
         if len(known):
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             found = np.where(known[at] == hashes, counts[at], 0)
-        rows.append({"part": part, "block": block, "hashes": b"", "counts": found.tobytes()})
+        rows.append({"part": part, "block": block, "hashes": b"", "counts": _bytes(found)})
     return pa.Table.from_pylist(rows, _ASKED)
 
 
@@ -238,17 +263,29 @@ def _by_block(packed: DataFrame, answered: DataFrame) -> DataFrame:
 _SENT = "part bigint, block bigint, hashes binary, counts binary"
 
 
-def count(docs: DataFrame, order: int = ORDER, least: int = LEAST, block_words: int = BLOCK_WORDS, part_words: int = PART_WORDS) -> Counts:
-    """Count tables of all documents, up to n-grams of `order` words."""
+def count(docs: DataFrame, order: int = ORDER, least: int = LEAST, block_words: int = BLOCK_WORDS, part_words: int = PART_WORDS,
+          keep_tables: bool = True) -> Counts:
+    """Count tables of all documents, up to n-grams of `order` words.
+
+    Without `keep_tables` each table goes once the corpus's own blocks have their answers from it, which
+    is enough for `score_corpus`.
+    """
+    spark = docs.sparkSession
     packed = bucketed(blocks(docs, block_words), "lm-blocks", "block")
     size = packed.agg(F.sum("n_words")).first()[0] or 0
     part_bits = max(math.ceil(math.log2(max(size / part_words, 1))), 0)
     tables, answers = [], []
     for n in range(1, order + 1):
         asked = _asked(packed, answers, least, n, part_bits)
-        both = written(asked.groupBy("part").applyInArrow(_sums(1 if n == 1 else least), _SENT), "lm-counts")
-        tables.append(both.filter("block is null").select("part", "hashes", "counts"))
+        path = shared_path(spark, "lm-counts")
+        with shuffles_dropped(spark):
+            asked.groupBy("part").applyInArrow(_sums(1 if n == 1 else least), _SENT).write.parquet(path)
+        both = spark.read.schema(_SENT).parquet(path)
         answers.append(written(_by_block(packed, both.filter("block is not null")), "lm-answers"))
+        if keep_tables:
+            tables.append(both.filter("block is null").select("part", "hashes", "counts"))
+        else:
+            remove(spark, path)
     return Counts(tables, size, least, part_bits, packed, answers)
 
 
@@ -263,7 +300,7 @@ def _scored(packed: DataFrame, answers: list[DataFrame], total: int, least: int)
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch["ids"]
-            for at, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
+            for at, row in enumerate(_rows([batch.drop_columns(["ids"])])):
                 grams = _Grams(row, [row[name] for name in names], least, order)
                 ends = grams.ends
                 starts = np.concatenate(([0], ends[:-1]))

@@ -68,7 +68,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_corpus(lm.count(table(spark, sf_dir, "documents")))
+    return lm.score_corpus(lm.count(table(spark, sf_dir, "documents"), keep_tables=False))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

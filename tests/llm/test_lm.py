@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ def test_larger_texts_back_off_at_every_depth(spark):
 
 def test_tables_hold_what_is_frequent(spark):
     counts = lm.count(spark.createDataFrame(CORPUS, SCHEMA), part_words=2)
-    sizes = [sum(len(r["hashes"]) // 8 for r in table.collect()) for table in counts.tables]
+    sizes = [sum(len(lm._hashes(r["hashes"])) for r in table.collect() if r["hashes"]) for table in counts.tables]
     grams = Counter()
     for _, text in CORPUS:
         own = [START, *(text or "").split()]
@@ -77,6 +78,15 @@ def test_tables_hold_what_is_frequent(spark):
     assert sizes == [sum(len(g) == n and (c >= 2 or n == 1) for g, c in grams.items()) for n in (1, 2, 3)]
 
 
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(2)
+    for hashes in (rng.integers(0, 1 << 63, 50), rng.integers(0, 1 << 20, 500), [5], [0, 1 << 63, (1 << 64) - 1]):
+        hashes = np.unique(np.array(hashes, np.uint64))
+        assert (lm._hashes(lm._steps(hashes)) == hashes).all()
+    chunks = [rng.choice([0, 1, 254, 255, 256, 1 << 40], n) for n in (0, 1, 100)]
+    assert (lm._counts(b"".join(map(lm._bytes, chunks))) == np.concatenate(chunks)).all()
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "x " * 60000), (2, None), (3, ""), (4, "x"), (4, "x")], SCHEMA)
     docs = docs.withColumn("text_", F.lit(1)).withColumn("ids", F.lit(2)).withColumn("counts", F.lit(2)).withColumn("block", F.lit(3))
