@@ -381,7 +381,9 @@ SIGHTING = merge.MergeSpec(
 BATCH_START = "2024-01-16"
 
 
-def _state_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _state_and_batch(
+    spark: SparkSession, sf_dir: str, spec: merge.MergeSpec = SIGHTING
+) -> tuple[DataFrame, DataFrame]:
     events = table(spark, sf_dir, "events").select(
         "event_id", "event_type", "user_id", "value", F.col("value").alias("first_value"),
         "props", tx.sha256_prefix(F.col("props"), 16).alias("fingerprint"),
@@ -390,15 +392,16 @@ def _state_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     )
 
     def shaped(rows: DataFrame) -> DataFrame:
-        return merge.sightings(rows, SIGHTING, F.col("event_id"))
+        return merge.sightings(rows, spec, F.col("event_id"))
 
-    stored = merge.fold(shaped(events.filter(~F.col("is_batch"))), SIGHTING)
+    stored = merge.fold(shaped(events.filter(~F.col("is_batch"))), spec)
     return stored, shaped(events.filter("is_batch"))
 
 
-def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored, batch = _state_and_batch(spark, sf_dir)
-    return merge.upsert(stored, batch, SIGHTING)
+def _merged(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    spec = SIGHTING.only(columns or None)
+    stored, batch = _state_and_batch(spark, sf_dir, spec)
+    return merge.upsert(stored, batch, spec)
 
 
 @query("listing_upsert", """
@@ -432,7 +435,7 @@ SELECT event_type, user_id, arg_max(epoch_us(ts), event_id) AS last_seen_at
 FROM events GROUP BY event_type, user_id
 """)
 def last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir).select(
+    return _merged(spark, sf_dir, "seen_at").select(
         "event_type", "user_id", F.col("seen_at").alias("last_seen_at")
     )
 
@@ -466,7 +469,7 @@ FROM per_key
 """)
 def upsert_key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counts before anything is merged, from keys alone."""
-    stored, batch = _state_and_batch(spark, sf_dir)
+    stored, batch = _state_and_batch(spark, sf_dir, SIGHTING.only(()))
     return merge.merge_stats(stored, batch, SIGHTING.keys)
 
 
