@@ -2,8 +2,10 @@
 
 A text is cut into words and what separates them; a term matches where it equals some consecutive
 words with their separators. So each text gives its distinct word n-grams, of as many words as a term
-has, and these are joined with the table. The plan does not depend on the number of terms, and terms
-and texts both shuffle. Result as with `TierRules` of the same literal terms: any case, whole words.
+has, and those that the table has are kept. The plan does not depend on the number of terms. Terms are
+broadcast while they are small, otherwise terms and n-grams both shuffle; n-grams, of which a small file
+gives many, are never broadcast. Result as with `TierRules` of the same literal terms: any case, whole
+words.
 
 Terms begin and end with a letter, digit or underscore; others can only match between words and
 are left out, as are null and empty ones. Repeated terms count once.
@@ -59,6 +61,8 @@ def tier_by_table(rows: DataFrame, terms: DataFrame, id: str, company: str = "co
     )).alias("text")).select("_id", "text.kind", "text.runs")
     grams = texts.select("_id", "kind", F.explode(_grams(F.col("runs"), longest)).alias("term"))
     rank = F.when(F.col("kind") == NAMED, 0).when(F.col("kind") == SKIP, 1).otherwise(2)
-    found = grams.join(rules.select("kind", "term"), ["kind", "term"]).groupBy("_id").agg(F.min(rank).alias("_rank"))
+    # A semi join, as only its right side can be broadcast: the planner takes the n-grams to be as small as
+    # the file that their texts come from.
+    found = grams.join(rules.select("kind", "term"), ["kind", "term"], "left_semi").groupBy("_id").agg(F.min(rank).alias("_rank"))
     tier = F.when(F.col("_rank") == 0, TIER_NAMED).when(F.col("_rank") == 2, TIER_KEYWORD).otherwise(TIER_SKIP)
     return rows.select(id).join(found, F.col(id) == F.col("_id"), "left").select(id, tier.alias("tier"))

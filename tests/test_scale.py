@@ -125,6 +125,19 @@ def test_the_plan_does_not_grow_with_the_terms(spark):
         ("named", "a-b c", 3)]
 
 
+def test_ngrams_of_a_small_file_are_not_broadcast(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(500).select(F.when(F.col("id") % 50 > 0, F.col("id") % 400).alias("id"), F.concat(F.lit("Acme "), F.col("id") % 7).alias("company_name"),
+                            F.lit("Sales Lead").alias("title")).write.parquet(path)
+    terms = spark.createDataFrame([("named", "acme 3"), ("skip", "sales lead"), ("skip", "Sales Lead"), ("keyword", "lead")], "kind string, term string")
+    found = tier_by_table(spark.read.parquet(path), terms, "id")
+    assert "BuildLeft" not in physical(found) and "LeftSemi" in physical(found)
+    listed = found.collect()
+    named = {i % 400 for i in range(500) if i % 50 and i % 7 == 3}
+    assert len(listed) == 500 and sum(r.id is None for r in listed) == 10
+    assert all(r.tier == ("named_target" if r.id in named else "skip") for r in listed)
+
+
 def test_range_join_finds_every_range_of_every_value(spark):
     rng = random.Random(8)
     values = [rng.choice([None, rng.randint(-50, 150), 30]) for _ in range(200)]
