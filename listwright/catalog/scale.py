@@ -13,7 +13,7 @@ from listwright.operators import merge, queue, review
 from listwright.operators.heavy import most_common_bounded
 from listwright.operators.ranges import range_rule_audit
 from listwright.operators.rule_join import KEYWORD, NAMED, SKIP, tier_by_table
-from listwright.sources.bucketed import write_bucketed
+from listwright.sources.bucketed import buckets_for, write_bucketed
 from listwright.sources.scratch import scratch_dir
 from listwright.streaming.sliced import first_slice_of, fold_stream, folded_state, land_in_slices, read_slices
 from listwright.streaming.stateless import stream_dedup
@@ -89,14 +89,10 @@ def range_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- tables bucketed by listing ----------------------------------------------------------------------
 
-_BUCKETS = 8
-
-
 def _bucketed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return (
-        write_bucketed(ad.jobs_of_orders(spark, sf_dir), "jobs", "job_id", _BUCKETS),
-        write_bucketed(ad.scores_of_lineitem(spark, sf_dir), "scores", "job_id", _BUCKETS),
-    )
+    jobs, scores = ad.jobs_of_orders(spark, sf_dir), ad.scores_of_lineitem(spark, sf_dir)
+    buckets = buckets_for(jobs, scores)
+    return write_bucketed(jobs, "jobs", "job_id", buckets), write_bucketed(scores, "scores", "job_id", buckets)
 
 
 @query("score_star_bucketed", f"""

@@ -1,9 +1,11 @@
 import random
 from collections import Counter
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
+from listwright.catalog import scale
 from listwright.functions.rules import TierRules
 from listwright.operators import merge, queue, review
 from listwright.operators.heavy import most_common_bounded
@@ -11,7 +13,7 @@ from listwright.operators.normalize import most_common
 from listwright.operators.ranges import range_join, range_rule_audit
 from listwright.operators.rule_join import rule_table, tier_by_table
 from listwright.operators.tiering import with_tier
-from listwright.sources.bucketed import write_bucketed
+from listwright.sources.bucketed import buckets_for, write_bucketed
 from listwright.streaming.sliced import first_slice_of, fold_stream, folded_state, land_in_slices, read_slices
 from listwright.streaming.stateless import stream_dedup
 
@@ -176,6 +178,25 @@ def test_bucketed_tables_join_without_moving_scores(spark, tmp_path):
     assert sorted(r.job_id for r in left.collect()) == list(range(1, 50, 2))
 
 
+def test_buckets_follow_the_rows(spark, tmp_path, monkeypatch):
+    assert buckets_for(spark.range(25), spark.range(31), least=1, rows_per_bucket=10) == 4
+    assert buckets_for(spark.range(25), spark.range(0)) == 8
+    day = F.lit("1997-01-02 00:00:00").cast("timestamp_ntz")
+    spark.range(12).select(F.col("id").alias("o_orderkey"), F.lit(1).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.lit("1-URGENT").alias("o_orderpriority"),
+                           day.alias("o_orderdate")).write.parquet(str(tmp_path / "orders.parquet"))
+    # Listing 0 has most of the scores.
+    spark.range(205).select(F.when(F.col("id") < 12, F.col("id")).otherwise(0).alias("l_orderkey"), F.lit(1).alias("l_partkey"), F.lit(2).alias("l_suppkey"),
+                            F.col("id").alias("l_linenumber"), F.lit("A").alias("l_returnflag"), F.lit("F").alias("l_linestatus"), F.lit(5.0).alias("l_quantity"),
+                            F.lit(0.05).alias("l_discount"), day.alias("l_shipdate")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(2).select(F.col("id").alias("c_custkey"), F.lit("BUILDING").alias("c_mktsegment"), F.lit("n").alias("c_name")).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(scale, "buckets_for", partial(buckets_for, rows_per_bucket=10))
+    found = scale.score_star_bucketed(spark, str(tmp_path))
+    assert physical(found).count("SelectedBucketsCount: 21 out of 21") == 2
+    assert "Exchange hashpartitioning(job_id" not in physical(found) and found.count() == 205
+    # Only listing 1 has a first line.
+    assert sorted(r.job_id for r in scale.unscored_bucketed(spark, str(tmp_path)).collect()) == [0, *range(2, 12)]
+
+
 # --- streams of several micro-batches ------------------------------------------------------------------
 
 
